@@ -64,6 +64,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), NOT_WORD), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside a lambda, an expression written out would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast df if its counted rows are within the bound, else leave the join to a shuffle."""
     return F.broadcast(df) if rows <= most else df

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontamination, exact_dedup, mixing
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_decontamination": decontamination.op3_decontamination,
+        "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op3_decontamination": decontamination.OP3_SQL,
+        "op9_mixing": mixing.OP9_SQL,
     }
