@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing
+from . import decontamination, exact_dedup, license_scan, mixing
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_decontamination": decontamination.op3_decontamination,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op9_mixing": mixing.op9_mixing,
     }
 
