@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, license_scan, mixing
+from . import decontamination, exact_dedup, language_id, license_scan, mixing
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_language_id": language_id.op2_language_id,
         "op3_decontamination": decontamination.op3_decontamination,
         "op6_license_scan": license_scan.op6_license_scan,
         "op9_mixing": mixing.op9_mixing,
@@ -17,6 +18,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op2_language_id": language_id.op2_language_id,
         "op3_decontamination": decontamination.OP3_SQL,
         "op9_mixing": mixing.OP9_SQL,
     }
