@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, license_scan, mixing
+from . import decontamination, exact_dedup, language_id, license_scan, lm_scoring, mixing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_language_id": language_id.op2_language_id,
         "op3_decontamination": decontamination.op3_decontamination,
+        "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op6_license_scan": license_scan.op6_license_scan,
         "op9_mixing": mixing.op9_mixing,
     }
