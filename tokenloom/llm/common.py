@@ -72,3 +72,29 @@ def let(value: Column, body) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast df if its counted rows are within the bound, else leave the join to a shuffle."""
     return F.broadcast(df) if rows <= most else df
+
+
+def place_of_kth(df: DataFrame, key: str, tie: str, k: int, most: int = 5000) -> tuple | None:
+    """(key, tie) of the k-th row by key descending, then tie ascending, or None if there are fewer than k rows or k is 0.
+
+    Histograms narrow the range of keys until few rows are in it, so no task sorts more than about most rows, unless that many
+    have one key. df is read several times: give a materialised one. The tie must tell apart rows of equal keys, or be equal.
+    """
+    slices = 4096
+    if k <= 0:
+        return None
+    left, (n, low, high) = k, df.agg(F.count(key), F.min(key), F.max(key)).first()
+    if n < k:
+        return None
+    inside = df.where(F.col(key).isNotNull())
+    while n > most and high > low:
+        at = F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(high - low) * slices), F.lit(slices - 1))
+        sums = {r[0]: r[1:] for r in inside.groupBy(at.alias("at")).agg(F.count(F.lit(1)), F.min(key), F.max(key)).collect()}
+        for slice_ in sorted(sums, reverse=True):
+            n, low, high = sums[slice_]
+            if left <= n:
+                break
+            left -= n
+        inside = inside.where(F.col(key).between(low, high))
+    rows = inside.orderBy(F.col(key).desc(), F.col(quoted(tie)).asc_nulls_last()).limit(left).select(key, quoted(tie)).collect()
+    return tuple(rows[-1])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, license_scan, lm_scoring, mixing
+from . import decontamination, exact_dedup, importance_resampling, language_id, license_scan, lm_scoring, mixing
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op6_license_scan": license_scan.op6_license_scan,
         "op9_mixing": mixing.op9_mixing,
+        "op10_importance_resampling": importance_resampling.op10_importance_resampling,
     }
 
 
