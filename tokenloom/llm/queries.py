@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, importance_resampling, language_id, license_scan, lm_scoring, mixing
+from . import decontamination, exact_dedup, importance_resampling, jaccard_join, language_id, license_scan, lm_scoring, mixing
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op6_license_scan": license_scan.op6_license_scan,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op9_mixing": mixing.op9_mixing,
         "op10_importance_resampling": importance_resampling.op10_importance_resampling,
     }
