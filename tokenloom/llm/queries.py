@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, importance_resampling, jaccard_join, language_id, license_scan, lm_scoring, mixing
+from . import decontamination, exact_dedup, html_extraction, importance_resampling, jaccard_join, language_id, license_scan, lm_scoring, mixing, url_filter
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
+        "op5_html_extraction": html_extraction.op5_html_extraction,
         "op6_license_scan": license_scan.op6_license_scan,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+        "op8_url_filter": url_filter.op8_url_filter,
         "op9_mixing": mixing.op9_mixing,
         "op10_importance_resampling": importance_resampling.op10_importance_resampling,
     }
