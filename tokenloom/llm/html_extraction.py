@@ -165,7 +165,7 @@ def extract_main_text(df: DataFrame, html_col: str = "html", url_col: str = "url
 
     A null, empty or text-less page gives an empty text. Repeated rows and identifiers are rows of their own, and count as
     distinct pages of their host; a null url has the empty host. An empty table stays empty. Input columns named as a made
-    column are replaced; all others are carried along, but the html only if the operator's caller asks for it by keeping it in df.
+    column are replaced; all others but the html are carried along.
     """
     bounded_batches(df.sparkSession)
 
@@ -183,7 +183,7 @@ def extract_main_text(df: DataFrame, html_col: str = "html", url_col: str = "url
     def unique(blocks: pd.Series, starts: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(without_runs(list(b), [] if s is None else list(s))) for b, s in zip(blocks, starts, strict=True)])
 
-    keep = others(df, *MADE)
+    keep = others(df, *MADE, html_col)
     read_pages = materialise(df.select(*keep, read(F.col(quoted(html_col)).cast("string")).alias("__read"), host_of(F.col(quoted(url_col))).alias("__host")).withColumn("__row", F.monotonically_increasing_id()))
     known = read_pages.where("__read.text IS NOT NULL OR size(__read.blocks) = 0").withColumn("text", F.coalesce("__read.text", F.lit("")))
     open_ = read_pages.where("__read.text IS NULL AND size(__read.blocks) > 0")
