@@ -79,16 +79,10 @@ def gumbel(ident: Column, seed: str) -> Column:
     return -F.log(-F.log(u))
 
 
-def resample(df: DataFrame, ratios: np.ndarray, share: float, text_col: str = "text", id_col: str = "doc_id", seed: str = "gumbel") -> DataFrame:
-    """df with log_weight, score (0 to 1: the odds that the weight gives), gumbel_key and selected (in the top share by key).
-
-    A null text, or one without words, has weight 0 and score 0.5. Rows of one identifier have the same noise; of equal keys the
-    smaller identifier goes first, and rows equal in both are selected together. An empty table stays empty. Input columns named
-    as a made column are replaced; all others are carried along.
-    """
-    spark = df.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(ratios)
+def weigh_texts(df: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFrame:
+    """df with log_weight; 0 for a null text or one without words."""
+    bounded_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(ratios)
 
     @F.pandas_udf("double")
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -96,8 +90,18 @@ def resample(df: DataFrame, ratios: np.ndarray, share: float, text_col: str = "t
             at, sizes = bins_of(texts.tolist(), len(shared.value))
             yield pd.Series(segment_sums(shared.value[at], sizes))
 
+    return df.select(*others(df, "log_weight"), weigh(F.col(quoted(text_col)).cast("string")).alias("log_weight"))
+
+
+def resample(weighed: DataFrame, share: float, id_col: str = "doc_id", seed: str = "gumbel") -> DataFrame:
+    """weighed with score (0 to 1: the odds that its log_weight gives), gumbel_key and selected (in the top share by key).
+
+    A text without words has weight 0 and so score 0.5. Rows of one identifier have the same noise; of equal keys the smaller
+    identifier goes first, and rows equal in both are selected together. An empty table stays empty. Input columns named as a
+    made column are replaced; all others are carried along, and written once on the way: leave texts out that aren't needed.
+    """
     ident = F.col(quoted(id_col))
-    out = df.select(*others(df, *MADE), weigh(F.col(quoted(text_col)).cast("string")).alias("log_weight"))
+    out = weighed.select(*others(weighed, *MADE), "log_weight")
     out = out.withColumns({"score": 1 / (1 + F.exp(-F.greatest(F.least("log_weight", F.lit(500.0)), F.lit(-500.0)))), "gumbel_key": F.col("log_weight") + gumbel(ident, seed)})
     out = materialise(out)
     n = out.count()
@@ -105,9 +109,9 @@ def resample(df: DataFrame, ratios: np.ndarray, share: float, text_col: str = "t
     last = place_of_kth(out.select("gumbel_key", ident), "gumbel_key", id_col, k)
     if last is None:
         return out.withColumn("selected", F.lit(k >= n and n > 0))
-    key, tie = F.col("gumbel_key"), ident.isNull() if last[1] is None else ident <= F.lit(last[1])
-    known = F.lit(True) if last[1] is None else F.coalesce(tie, F.lit(False))
-    return out.withColumn("selected", (key > last[0]) | ((key == last[0]) & known))
+    key = F.col("gumbel_key")
+    first = F.lit(True) if last[1] is None else F.coalesce(ident <= F.lit(last[1]), F.lit(False))  # null identifiers come last
+    return out.withColumn("selected", (key > last[0]) | ((key == last[0]) & first))
 
 
 def op10_importance_resampling(spark, sf_dir):
@@ -118,4 +122,5 @@ def op10_importance_resampling(spark, sf_dir):
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("target")), F.lit(1 << 30)) < int(min(1.0, TARGET_DOCS / max(1, good)) * (1 << 30)) + 1
     target = labels.where((F.col("quality") == 1) & drawn).select("doc_id").distinct().limit(TARGET_DOCS).withColumn("__good", F.lit(True))
     ratios = learn_ratios(docs.join(F.broadcast(target), "doc_id", "left"), F.col("__good"))
-    return resample(docs, ratios, good / n if n else 1.0).select("doc_id", *MADE)
+    weighed = weigh_texts(docs, ratios).select("doc_id", "log_weight")
+    return resample(weighed, good / n if n else 1.0).select("doc_id", *MADE)
