@@ -142,7 +142,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{shared_folder(spark)}/sentences-{uuid.uuid4().hex}"
         annotate(docs.repartitionByRange(parts, "doc_id")).write.parquet(path)
         _built[key] = path
-    return spark.read.parquet(_built[key])
+    return spark.read.parquet(_built[key]).withColumn("split_id", F.col("doc_id").cast("long"))
 
 
 #: The same rules as SQL: sent(sentence_id, doc_id, sent_ord, w, n), tok(sentence_id, n, i, w, lemma, tag), edge(sentence_id, src, dst, rel).
