@@ -39,7 +39,7 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", p
         src = src.join(F.broadcast(salts), "__hash", "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(ident), F.col("__salts"))))
     else:
         src = src.withColumns({"__salts": F.lit(None).cast("long"), "__salt": F.lit(0).cast("long")})
-    src = src.withColumn("__head", F.substring(normalised(F.substring(F.col("__text"), 1, 4 * SPLITTER_CHARS)), 1, SPLITTER_CHARS))
+    src = src.withColumn("__head", F.substring(normalised(F.col("__text")), 1, SPLITTER_CHARS))
     keys = ["__head", "__hash", *["__salt"] * bool(hot)]  # a constant key would be folded away, and the window would shuffle once more
     run = src.repartitionByRange(n, *keys).withColumn("__norm", normalised(F.col("__text")))
     spec = Window.partitionBy(*keys, "__norm").orderBy(ident.asc_nulls_last())
