@@ -21,7 +21,7 @@ from .common import NOT_SPACE, materialise, others, quoted, text_of
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Rows that a window of the running sums, or the slice in which the budget ends, holds on average at most.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 MADE = ("size", "source_size", "target", "taken")
 
 
@@ -53,12 +53,10 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return per.withColumn("target", F.when(F.col("__full"), F.col("__most")).otherwise(F.col("__w") * level)).select("__source", "source_size", "__rank", "target")
 
 
-def queued(df: DataFrame, text_col: str, id_col: str, source_col: str, seed: str) -> DataFrame:
+def queued(df: DataFrame, text_col: str, id_col: str, source_col: str, seed: str, size: Column | None = None) -> DataFrame:
     """df with size, source_size, target, __rank, __key (place in the shuffle) and __upto (words of its source up to it)."""
     ident = F.col(quoted(id_col))
-    sized = df.select(*others(df, *MADE), n_words(text_of(text_col)).alias("size"), F.col(quoted(source_col)).alias("__source"))
-    if text_col == "__size":  # sizes are known already
-        sized = df.select(*others(df, *MADE, "__size"), F.col("__size").alias("size"), F.col(quoted(source_col)).alias("__source"))
+    sized = df.select(*others(df, *MADE), (n_words(text_of(text_col)) if size is None else size).alias("size"), F.col(quoted(source_col)).alias("__source"))
     digits = max(0, math.ceil(math.log(max(1, df.count()) / BUCKET_ROWS, 16)))
     sized = sized.withColumn("__key", F.md5(F.concat(F.lit(seed), F.coalesce(ident.cast("string"), F.lit("null")))))
     sized = sized.withColumn("__bucket", F.substring("__key", 1, digits) if digits else F.lit(""))
@@ -115,20 +113,20 @@ def within(last: tuple, id_col: str, e: int) -> Column:
     return F.coalesce(F.struct(*at) <= F.struct(*[F.lit(x).cast(t) for x, t in zip(last, ("double", "int", "string", "long", "int"), strict=True)]), F.lit(False))
 
 
-def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: str = "mix:") -> DataFrame:
+def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: str = "mix:", size: Column | None = None) -> DataFrame:
     """df with size (words), source_size, target (words its source should give) and taken (words the mix takes, repeats counted).
 
     A null text has no words, a null source is a source of its own and the last in order. Documents are taken whole, up to
     REPEATS times. Rows of one identifier share a place in the shuffle and stand in order of size. An empty table stays empty.
-    Input columns named as a made column are replaced; all others are carried along. Reruns agree: the shuffle is a digest of
-    seed and identifier.
+    Input columns named as a made column are replaced; all others are carried along, texts too: give size, the words of each
+    row, with texts left out where they aren't needed. Reruns agree: the shuffle is a digest of seed and identifier.
     """
-    q = materialise(queued(df, text_col, id_col, source_col, seed))
+    q = materialise(queued(df, text_col, id_col, source_col, seed, size))
     last = cut(q, id_col)
     taken = F.lit(0).cast("long")
     for e in range(REPEATS if last else 0):
         taken = taken + F.when(within(last, id_col, e), F.col("size")).otherwise(0)
-    return q.withColumn("taken", taken).withColumn("target", F.coalesce("target", F.lit(0.0))).select(*others(df, *MADE, "__size"), *MADE)
+    return q.withColumn("taken", taken).withColumn("target", F.coalesce("target", F.lit(0.0))).select(*others(df, *MADE), *MADE)
 
 
 def mixed_stream(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: str = "mix:") -> DataFrame:
@@ -144,7 +142,8 @@ def mixed_stream(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def op9_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_sources(docs.select("doc_id", "source", n_words(text_of("text")).alias("__size")), text_col="__size").select("doc_id", *MADE)
+    sized = docs.select("doc_id", "source", n_words(text_of("text")).alias("n_words"))
+    return mix_sources(sized, size=F.col("n_words")).select("doc_id", *MADE)
 
 
 OP9_SQL = r"""
