@@ -1,0 +1,105 @@
+import os
+import random
+import re
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from tokenloom.llm import language_id
+from tokenloom.llm.queries import oracle_sql, queries
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query(spark, name):
+    """Every query runs over its table; where there is SQL it gives the same rows."""
+    df = queries()[name](spark, DIR)
+    cols = sorted(df.columns)
+    rows = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
+    table = "pages" if name.split("_")[0] in ("op5", "op8") else "documents"
+    if name != "op3_decontamination":
+        assert len(rows) == spark.read.parquet(f"{DIR}/{table}.parquet").count()
+    if name in oracle_sql():
+        con = duckdb.connect()
+        for t in ("documents", "benchmark", "pages"):
+            path = f"{DIR}/{t}.parquet"
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{glob(path)}'")
+        got = con.execute(oracle_sql()[name])
+        names = [d[0] for d in got.description]
+        assert sorted(names) == cols
+        assert sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in got.fetchall()) == rows
+
+
+def glob(path):
+    return f"{path}/*.parquet" if os.path.isdir(path) else path
+
+
+def corpus():
+    draw = random.Random(8)
+    words = {"en": [f"{w}{i}" for w in ("the", "of", "and", "house", "tree") for i in "abcdefgh"], "de": [f"{w}{i}" for w in ("der", "und", "nicht", "baum", "zeit") for i in "mnopqrst"]}
+    item = " ".join(draw.choice(words["en"]) for _ in range(20))
+    rows = []
+    for i in range(60):
+        lang = draw.choice(["en", "de"])
+        rows.append((i, " ".join(draw.choice(words[lang]) for _ in range(draw.randint(30, 90))), lang, f"s{i % 4}"))
+    rows += [(100 + i, rows[i][1].replace(" ", "  \n"), rows[i][2], "copy") for i in range(10)]  # equal but for white space
+    rows += [(200 + i, rows[i][1] + " extra", rows[i][2], "near") for i in range(5, 15)]
+    rows += [(300 + i, rows[20 + i][1] + " " + item.upper(), "en", "leak") for i in range(4)]
+    rows += [(400, None, None, None), (401, "", "en", "s0"), (402, "123 456", "en", "s0")]
+    return [(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], item
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rows, item = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 more").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = [r for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
+    seen, kept = set(), []
+    for r in sorted(left):
+        norm = re.sub(r"[\x20\x09-\x0D]+", " ", r[1])
+        if norm not in seen:
+            seen.add(norm)
+            kept.append(r)
+
+    def shingles(t):
+        w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if x]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    alone = []
+    for r in kept:  # texts here are near in pairs only
+        a = shingles(r[1])
+        if not any(len(a & shingles(o[1])) >= 0.8 * len(a | shingles(o[1])) for o in alone):
+            alone.append(r)
+    own = shingles(item)
+    clean = [r for r in alone if len(own & shingles(r[1])) < 0.8 * len(own)]
+    assert len(rows) > len(left) > len(kept) > len(alone) > len(clean)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for (name, stage), want in zip(corpus_pipeline.STAGES, (left, kept, alone, clean, None), strict=True):
+        docs = stage(spark, docs, str(tmp_path))
+        if want is not None:
+            assert docs.columns == list(corpus_pipeline.COLUMNS), name
+            assert sorted(tuple(r) for r in docs.collect()) == sorted(want), name
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    total = sum(len(r[1].split()) for r in clean)
+    assert {r.doc_id for r in got} <= {r[0] for r in clean} and 0.9 * total <= sum(r.taken for r in got) <= total
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows_go_through_every_stage(spark, docs, clashing, tmp_path):
+    spark.createDataFrame([(1, "brown fox jumps over the lazy dog and")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, clashing, str(tmp_path)).count() <= docs.count()
+
+
+def test_language_is_held_out(spark):
+    out = queries()["op2_language_id"](spark, "/root/testdata/sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    right = out.join(docs, "doc_id").where("held_out").selectExpr("avg(cast(lang = lang_pred AS double))").first()[0]
+    assert right > 0.98 and language_id.FOLDS == 4

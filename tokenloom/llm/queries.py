@@ -23,7 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
-        "op2_language_id": language_id.op2_language_id,
         "op3_decontamination": decontamination.OP3_SQL,
         "op9_mixing": mixing.OP9_SQL,
     }
