@@ -27,9 +27,10 @@ def split_escaped(value: Column, separator: str) -> Column:
     separator; the sentinel separator at the end makes the last part like the others.
     """
     sep = "\\" + separator
-    found = F.regexp_extract_all(F.concat(value, F.lit(separator)), F.lit(rf"(?s)((?:\\.|[^\\{sep}])*\\?){sep}"), F.lit(1))
-    # A lone backslash at the very end would escape the sentinel: then the last part is what follows the last real separator.
-    return F.when(F.length(F.regexp_extract(value, r"(?s)(\\*)$", 1)) % 2 == 0, found).otherwise(F.regexp_extract_all(F.concat(value, F.lit("\\" + separator)), F.lit(rf"(?s)((?:\\.|[^\\{sep}])*){sep}"), F.lit(1)))
+    lone = F.length(F.regexp_extract(value, r"(\\*)\z", 1)) % 2 == 1  # a backslash at the end that escapes nothing: it goes back on the last part
+    whole = F.when(lone, F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
+    found = F.regexp_extract_all(F.concat(whole, F.lit(separator)), F.lit(rf"(?s)([^\\{sep}]*+(?:\\.[^\\{sep}]*+)*){sep}"), F.lit(1))
+    return F.when(lone, F.transform(found, lambda x, i: F.when(i == F.size(found) - 1, F.concat(x, F.lit("\\"))).otherwise(x))).otherwise(found)
 
 
 def encode_tokens(tokens: Column) -> Column:

@@ -21,9 +21,9 @@ KEY = "sentence_id"
 def tokens(df: DataFrame, *fields: str) -> DataFrame:
     """sentence_id, n, pos_in and the fields of each token; all fields if none is named."""
     names = [f for f in (fields or TOKEN_FIELDS) if f in df.columns]
-    zipped = F.arrays_zip(*[F.col(f) for f in names])
+    zipped = F.arrays_zip(*[F.coalesce(F.col(f), F.array().cast("array<string>")).alias(f) for f in names])
     out = df.select(KEY, F.col("sentence_length").alias("n"), F.posexplode(zipped).alias("at", "t"))
-    return out.select(KEY, "n", "at", *[F.coalesce(F.col(f"t.{f}"), F.lit("")).alias(f) for f in names])
+    return out.select(KEY, "n", "at", *[F.coalesce(F.col("t")[f], F.lit("")).alias(f) for f in names])
 
 
 def edges(df: DataFrame) -> DataFrame:

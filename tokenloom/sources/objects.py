@@ -48,7 +48,7 @@ class ObjectStore:
 
 def ping(spark: SparkSession, folder: str) -> bytes:
     """Put a small object into folder, read it again, take it away; what was read."""
-    jvm, path = spark.sparkContext._jvm, f"{folder.rstrip('/')}/.ping-{uuid.uuid4().hex}"
+    jvm, path = spark.sparkContext._jvm, f"{folder.rstrip('/')}/ping-{uuid.uuid4().hex}"
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     sent = b"ping " + uuid.uuid4().hex.encode()
     try:
