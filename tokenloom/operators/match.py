@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..lang.ast import capture_mode
+from ..match.graph import RENDERED_TUPLES
 from ..match.surface import Sentence
 from ..plans import candidate as c, native
 from ..plans.compiler import Compiled, compile_query
@@ -73,13 +74,40 @@ def matches(df: DataFrame, query: str, native_only: bool = True) -> DataFrame:
     q = compile_query(query)
     low = lower(q, df.columns, native_only)
     df = df.where(low.candidate)
-    shape = native.fixed(q.pattern) if native_only and q.kind == "surface" else None
-    if shape is not None:
-        none = F.array().cast("array<struct<name:string,start:int,end:int>>")
-        return df.where(low.hit).withColumn("matches", F.transform(native.Row(df.columns).fixed_spans(shape), lambda s: F.struct(F.array(s).alias("spans"), none.alias("named"))))
-    if low.level != "matcher":
+    made = _native_matches(q, df.columns) if native_only else None
+    if made is None:
+        df = df if low.level == "matcher" else df.where(low.hit)
+        made = _matcher(q, df.columns, rendered=True)
+    else:
         df = df.where(low.hit)
-    return df.withColumn("matches", _matcher(q, df.columns, rendered=True)).where(F.size("matches") > 0)
+    return df.withColumn("matches", made).where(F.size("matches") > 0)
+
+
+def _native_matches(q: Compiled, columns: list[str]) -> Column | None:
+    """The matches as a plain column, for fixed sequences, runs of one test and bounded walks between tokens."""
+    row = native.Row(columns)
+    captures = "array<struct<name:string,start:int,end:int>>"
+    if q.kind == "surface":
+        if (shape := native.fixed(q.pattern)) is not None:
+            found = row.fixed_spans(shape)
+        elif (run := native.run(q.pattern)) is not None:
+            found = row.run_spans(run)
+        else:
+            return None
+        return F.transform(found, lambda s: F.struct(F.array(s).alias("spans"), F.array().cast(captures).alias("named")))
+    ways, graph = native.walk_ways(q.graph), graph_of(columns)
+    if ways is None or graph is None:
+        return None
+    n = len(q.graph.endpoints)
+
+    def render(t: Column) -> Column:
+        at = [t[f"t{k}"] for k in range(n)]
+        spans = [F.struct(u.alias("start"), (u + 1).alias("end"), F.array().cast(captures).alias("captures")) for u in at]
+        named = [F.struct(F.lit(name).alias("name"), u.alias("start"), (u + 1).alias("end")) for e, u in zip(q.graph.endpoints, at, strict=True) for name in e.names]
+        named += [F.struct(F.lit(name).alias("name"), F.least(*at).alias("start"), (F.greatest(*at) + 1).alias("end")) for name in q.graph.names]
+        return F.struct(F.array(*spans).alias("spans"), (F.array(*named) if named else F.array().cast(captures)).alias("named"))
+
+    return F.transform(row.walk_tuples(ways, q.graph, graph["edges"], RENDERED_TUPLES), render)
 
 
 def _matcher(q: Compiled, columns: list[str], rendered: bool) -> Column:

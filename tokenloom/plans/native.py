@@ -133,6 +133,22 @@ class Row:
 
         return F.transform(F.slice(self.starts(shape), 1, MAX_SPANS), span)
 
+    # ---- longest runs of one test
+
+    def run_spans(self, shape: Run) -> Column:
+        """The longest runs of tokens that hold the test; starts and ends of runs come in the same order."""
+        def spans(flags: Column) -> Column:
+            at = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
+            starts = F.filter(self.positions(), lambda i: at(i) & ~at(i - 1))
+            ends = F.filter(self.positions(), lambda i: at(i) & ~at(i + 1))
+            made = lambda a, b: [F.struct(F.lit(name).alias("name"), a.alias("start"), b.alias("end")) for name in shape.names]
+            captures = lambda a, b: F.array(*made(a, b)) if shape.names else F.array().cast("array<struct<name:string,start:int,end:int>>")
+            own = F.zip_with(starts, ends, lambda a, b: F.struct(a.cast("int").alias("start"), (b + 1).cast("int").alias("end"), captures(a.cast("int"), (b + 1).cast("int")).alias("captures")))
+            return F.slice(F.filter(own, lambda s: s["end"] - s["start"] >= shape.least), 1, MAX_SPANS)
+
+        flags = F.transform(self.positions(), lambda i: holds(shape.test, self.at(i)))
+        return F.element_at(F.transform(F.array(flags), spans), 1)  # the flags are worked out once
+
     # ---- sequences with repetitions: one letter a token, then a regular expression over the letters
 
     def class_hit(self, shape: ClassString) -> Column:
@@ -173,6 +189,35 @@ class Row:
         return F.coalesce(_any(first(way) for way in ways[0]), F.lit(False)) & edges.isNotNull()
 
 
+    def walk_tuples(self, ways: list[list[list[Step]]], p: Plan, edges: Column, cap: int) -> Column:
+        """The first cap of the distinct tuples of tokens, one for each endpoint, in order, as structs of t0, t1, ..."""
+        none = F.array().cast("array<struct<" + ",".join(f"t{k}:int" for k in range(len(p.endpoints))) + ">>")
+
+        def onward(i: int, u: Column, so_far: list[Column]) -> Column:
+            """Tuples that go on from endpoint i at token u, which holds its test."""
+            if i == len(p.walks):
+                return F.array(F.struct(*[t.cast("int").alias(f"t{k}") for k, t in enumerate(so_far)]))
+            return _concat([steps(i, way, u, so_far) for way in ways[i]])
+
+        def steps(i: int, way: list[tuple[Step, ...]], u: Column, so_far: list[Column]) -> Column:
+            if not way:
+                return F.when(holds(p.endpoints[i + 1].test, self.at(u)), onward(i + 1, u, [*so_far, u])).otherwise(none)
+            return F.flatten(F.transform(F.filter(edges, lambda e: _step(way[0], e, u)), lambda e: steps(i, way[1:], _far(way[0], e), so_far)))
+
+        def first(way: list[tuple[Step, ...]]) -> Column:
+            start = p.endpoints[0].test
+            if not way:
+                return F.flatten(F.transform(F.filter(self.positions(), lambda u: holds(start, self.at(u))), lambda u: steps(0, [], u, [u])))
+            own = F.filter(edges, lambda e: _labelled(way[0], e) & holds(start, self.at(_near(way[0], e))))
+            return F.flatten(F.transform(own, lambda e: steps(0, way[1:], _far(way[0], e), [_near(way[0], e)])))
+
+        return F.slice(F.array_sort(F.array_distinct(_concat([first(way) for way in ways[0]]))), 1, cap)
+
+
+def _concat(parts: list[Column]) -> Column:
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
 def _near(step: tuple[Step, ...], e: Column) -> Column:
     return e["src"] if step[0].out else e["dst"]
 
@@ -282,6 +327,25 @@ def fixed(p: Pattern) -> Fixed | None:
     return Fixed(tuple(tests), tuple(looks), tuple(captures)) if put(p) else None
 
 
+@dataclass(frozen=True)
+class Run:
+    """A greedy repetition of one test without an upper limit: its matches are the longest runs, as these win over what they overlap."""
+
+    test: Constraint
+    least: int
+    names: tuple[str, ...]  # captures of the whole, inner ones first
+
+
+def run(p: Pattern) -> Run | None:
+    names: list[str] = []
+    while isinstance(p, Capture):
+        names.insert(0, p.name)
+        p = p.of
+    if isinstance(p, Repeat) and p.greedy and p.least and p.most is None and isinstance(p.of, Token):
+        return Run(p.of.test, p.least, tuple(names))
+    return None
+
+
 @dataclass(frozen=True)
 class ClassString:
     tests: tuple[Constraint, ...]
