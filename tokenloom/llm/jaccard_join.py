@@ -221,3 +221,20 @@ def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "d
 
 def op7_jaccard_join(spark, sf_dir):
     return similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: All pairs that share a shingle, and the closure of the links: for small tables.
+OP7_SQL = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS node, count(*) AS copies FROM documents GROUP BY ALL),
+w AS (SELECT node, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT DISTINCT node, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT node, count(*) AS n FROM s GROUP BY node),
+p AS (SELECT a.node AS a, b.node AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.node < b.node GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT node, node AS root FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+k AS (SELECT a AS node, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, c.class_id, t.copies, coalesce(k.n_links, 0) AS n_links
+FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN c ON c.node = t.node LEFT JOIN k ON k.node = t.node
+"""

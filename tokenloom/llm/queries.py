@@ -24,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op3_decontamination": decontamination.OP3_SQL,
+        "op7_jaccard_join": jaccard_join.OP7_SQL,
         "op9_mixing": mixing.OP9_SQL,
     }
