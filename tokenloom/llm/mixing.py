@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Rows that a window of the running sums, or the slice in which the budget ends, holds on average at most.
 BUCKET_ROWS = 1024
+#: Most slices of finish times that are summed up in one place.
+MAX_SLICES = 1 << 16
 MADE = ("size", "source_size", "target", "taken")
 
 
@@ -88,7 +90,7 @@ def cut(q: DataFrame, id_col: str) -> tuple | None:
     rows, budget = q.agg(F.count(F.lit(1)), F.sum("size")).first()
     if not budget:
         return None
-    slices = max(1, rows * REPEATS // BUCKET_ROWS)
+    slices = max(1, min(MAX_SLICES, rows * REPEATS // BUCKET_ROWS))
     when = F.col("__finish")
     slice_of = F.when(when < 4, F.floor(when * slices)).otherwise(4 * slices + F.floor(F.log2(F.greatest(when, F.lit(1.0))) * slices))
     e = passes(q, id_col).withColumn("__slice", slice_of)
