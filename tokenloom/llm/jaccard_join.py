@@ -195,6 +195,7 @@ def similar_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     nodes = signed.join(texts, ["h1", "h2"]).where("id = node").select("node", F.explode("prefixes").alias("prefix")).distinct()
     nodes = materialise(nodes)
     buckets = nodes.groupBy("prefix").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    buckets = materialise(buckets)  # so that the join's sides are plain exchanges, and Spark can split the nodes of a large bucket
     candidates = components(nodes.join(buckets, "prefix").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     sizes = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     held = candidates.join(sizes, "root").join(texts.select("node", "h1", "h2"), "node")
