@@ -189,6 +189,7 @@ def extract_main_text(df: DataFrame, html_col: str = "html", url_col: str = "url
     open_ = read_pages.where("__read.text IS NULL AND size(__read.blocks) > 0")
     runs = open_.select("__row", "__host", F.posexplode(suffixes("__read.blocks")).alias("__at", "__run"))
     shared = runs.select("__row", "__host", "__run").distinct().groupBy("__host", "__run").count().where(F.col("count") >= MIN_PAGES).drop("count")
+    shared = materialise(shared)  # so that the join's sides are plain exchanges, and Spark can split the pages of a run that very many share
     covered = runs.join(shared, ["__host", "__run"]).groupBy(F.col("__row").alias("__of")).agg(F.collect_list("__at").alias("__starts"))
     judged = open_.join(covered, F.col("__row") == F.col("__of"), "left").withColumn("text", unique("__read.blocks", F.coalesce("__starts", F.array().cast("array<int>"))))
     out = known.select(*keep, "text").unionAll(judged.select(*keep, "text"))
