@@ -40,6 +40,24 @@ def test_against_brute_force(spark):
         assert r[2:] == brute(r[1]), r
 
 
+def test_long_texts_window_by_window(spark, monkeypatch):
+    from tokenloom.llm import license_scan as module
+
+    filler = "plain words that say nothing of the kind at all".split()
+    texts = [" ".join(" ".join(filler[: k % 9]) + " " + (TEXTS[k % len(TEXTS)] or "") for k in range(start, start + 60)) for start in range(0, 40, 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = license_scan(df).select("doc_id", "detections").collect()
+    for size in (70, 97, 1000):
+        monkeypatch.setattr(module, "WINDOW_WORDS", size)
+        assert sorted(license_scan(df).select("doc_id", "detections").collect()) == sorted(whole)
+    assert max(len(r.detections) for r in whole) > 50
+
+
+def test_very_many_detections_in_one_text(spark):
+    r = license_scan(spark.createDataFrame([(1, "all rights reserved, CC BY 4.0. " * 30_000)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, len(r.detections), r.first_word, r.last_word) == (210_000, 60_000, 60_000, 0, 209_996 + 0)
+
+
 def test_odd_rows(docs, empty, clashing):
     for r in found(license_scan(clashing)):
         assert r[2:] == brute(r[1])

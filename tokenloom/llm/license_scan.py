@@ -132,6 +132,8 @@ NOTICES = (
 GATES = ("licen", "spdx", " cc", "creative commons", "public domain", "permission ", "redistribution ", "free software", "provided as is", "warrant", "unencumbered", "rights reserved", "copyright", "proprietary", "commercial", "trademark", "gpl", "bsd", "wtfpl", "mit no attribution")
 MADE = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 LEVELS = 4
+#: Words of a window that a longer text is scanned by, and words around it that are looked at too; no rule matches as many words.
+WINDOW_WORDS, MARGIN_WORDS = 4096, 64
 
 
 @cache
@@ -198,6 +200,25 @@ def resolved(found: Column) -> Column:
     return F.aggregate(found, F.struct(F.array(*[F.lit(-1)] * LEVELS).alias("ends"), none.alias("kept")), sweep, lambda acc: acc["kept"])
 
 
+def scanned(text: Column, n: Column) -> Column:
+    """The detections of a normalised text of n words that stay. Adding up places costs time in the square of their number, so a long text is
+    scanned window by window, with margins wide enough for whatever a detection in the window could be part of."""
+    def window(words: Column, at: Column) -> Column:
+        before = lambda k: F.length(F.array_join(F.slice(words, 1, k), " ")) + F.when(k > 0, 1).otherwise(0)  # noqa: E731  characters before word k
+
+        def own(first: Column) -> Column:
+            piece = F.concat(F.lit(" "), F.array_join(F.slice(words, first + 1, at + (WINDOW_WORDS + MARGIN_WORDS) - first), " "), F.lit(" "))
+            limits = F.struct(before(first).alias("off"), before(at).alias("low"), before(at + WINDOW_WORDS).alias("high"))
+            moved = lambda c, d: F.struct(d["rule"].alias("rule"), d["label"].alias("label"), (d["start"] + c["off"]).alias("start"), (d["end"] + c["off"]).alias("end"), d["priority"].alias("priority"), d["confidence"].alias("confidence"))
+            found = lambda c: F.transform(let(piece, lambda t: resolved(detected(t))), lambda d: moved(c, d))
+            return let(limits, lambda c: F.filter(found(c), lambda d: (d["start"] > c["low"]) & (d["start"] <= c["high"])))
+
+        return let(F.greatest(at - MARGIN_WORDS, F.lit(0)), own)
+
+    windows = lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(WINDOW_WORDS)), lambda at: window(w, at)))
+    return F.when(n <= WINDOW_WORDS, resolved(detected(text))).otherwise(let(F.split(F.trim(text), " "), windows))
+
+
 def license_scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with n_words, n_base, first_word, last_word, base_labels, labels, score and detections.
 
@@ -224,7 +245,7 @@ def license_scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         labels = F.array_sort(F.array_compact(F.array(*[F.when(F.contains(t, F.lit(f" {p} ")), F.lit(label)) for p, label in BASE])))
         return F.struct(
             n.alias("n_words"), F.when(base, F.size(hits)).otherwise(0).cast("long").alias("n_base"), F.when(base, first).alias("first_word"), F.when(base, last).alias("last_word"),
-            F.when(base, labels).otherwise(F.array().cast("array<string>")).alias("base"), F.when(gate, resolved(detected(t))).otherwise(none).alias("detections"),
+            F.when(base, labels).otherwise(F.array().cast("array<string>")).alias("base"), F.when(gate, scanned(t, n)).otherwise(none).alias("detections"),
         )
 
     out = df.withColumn("__scan", let(normalised(text_of(text_col)), scan))
