@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 #: Rows and bytes of an Arrow batch that goes to a Python worker.
-ROWS, BYTES = 2000, 16 << 20
+ROWS, BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

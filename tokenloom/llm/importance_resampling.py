@@ -23,7 +23,7 @@ BINS = 10_000
 TARGET_DOCS = 50_000
 #: Added to each bin of both models, so that no ratio is infinite.
 SMOOTH = 1.0
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 150_000
 MADE = ("log_weight", "score", "gumbel_key", "selected")
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)

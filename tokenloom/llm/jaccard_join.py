@@ -26,7 +26,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 24, 8, 0.9999
 BLOCK = 256
 #: Shingles hashed at once, most words whose hash is remembered, most candidate nodes that are broadcast to the scan of their texts.
-SLAB, KNOWN_WORDS, BROADCAST_NODES = 1 << 15, 1_000_000, 500_000
+SLAB, KNOWN_WORDS, BROADCAST_NODES = 1 << 15, 150_000, 500_000
 #: A shingle that at most so many texts of a group have is counted pair by pair, others by a product of matrices.
 RARE = 24
 MADE = ("class_id", "copies", "n_links")

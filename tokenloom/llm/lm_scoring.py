@@ -30,7 +30,7 @@ STEPS = 60
 #: Hashes of the end of a text, which is a token, and of the context before its first word, which isn't.
 END, START = np.uint64(0x2D358DCCAA6C78A4), np.uint64(0x8BB84B93962EACC8)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 150_000
 MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
