@@ -24,6 +24,7 @@ def test_broken_markup():
     assert blocks_of("<article><header><h1>head</h1></header>t</article>") == (["head", "t"], True)
     assert blocks_of("<div role='main'><p>m</p></div><div>x</div>") == (["m"], True)
     assert blocks_of("<article><div hidden>h</div><p style='display: none'>n</p>t</article>") == (["t"], True)
+    assert blocks_of("<div class='page has-sidebar'><article class='ad-free'>t<p class='top-ad x'>a</p><p id='Cookie_Notice'>c</p></article></div>") == (["t"], True)
 
 
 def brute(pages):

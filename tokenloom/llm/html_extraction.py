@@ -42,6 +42,8 @@ WALLS = frozenset("article aside body div dialog fieldset footer form header htm
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>(?:[^>"']|"[^"]*"|'[^']*')*))>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _MARK = re.compile(r"[A-Za-z]+")
+#: Words before or after a mark in a class that say it isn't one (has-sidebar, ad-free).
+NOT_MARKS = frozenset("has with without no not non is free less".split())
 
 
 def _boilerplate(name: str, rest: str, in_main: bool) -> bool:
@@ -55,8 +57,11 @@ def _boilerplate(name: str, rest: str, in_main: bool) -> bool:
             return True
         if key == "role" and value.strip().lower() in ROLES:
             return True
-        if key in ("class", "id") and any(m.lower() in MARKS or m.lower() == "header" and not in_main for m in _MARK.findall(value)):
-            return True
+        if key in ("class", "id"):
+            for one in value.lower().split():
+                words = set(_MARK.findall(one))
+                if not words & NOT_MARKS and (words & MARKS or "header" in words and not in_main):
+                    return True
     return False
 
 
