@@ -108,6 +108,11 @@ def test_other_columns_are_an_error(spark, tmp_path):
         Store(spark, str(tmp_path / "u")).add_documents(spark.createDataFrame([], "path string, value string"), "perhaps")
 
 
+def test_one_path_twice_is_an_error(spark, tmp_path):
+    with pytest.raises(EngineError):
+        Store(spark, str(tmp_path / "t")).add_documents(spark.createDataFrame([("a", pizza(1)), ("a", pizza(2))], "path string, value string"))
+
+
 def test_rows_can_be_added_as_they_are(spark, tmp_path):
     store = Store(spark, str(tmp_path / "t"))
     rows = annotated.sentences_of_json(spark, pizza()).withColumn("stray", F.lit(1)).drop("lemma")
