@@ -77,3 +77,12 @@ def test_slot_terms_and_dictionaries(spark):
     assert [tuple(r) for r in e.merge_dictionaries(d, d.where("term = 'b'")).orderBy("id").collect()] == [("a", 2, 1), ("b", 2, 2), ("c", 2, 3)]
     rows = spark.createDataFrame([(["a"], None)], "word array<string>, tag array<string>")
     assert e.present_fields(rows).first().present == ["word"] and e.to_json_row(rows).first().value == '{"word":["a"]}'
+
+
+def test_ranks_of_many_terms(spark):
+    draw = random.Random(6)
+    words = ["".join(draw.choice("abcé") for _ in range(draw.randint(1, 6))) for _ in range(3000)]
+    counts = {w: words.count(w) for w in set(words)}
+    want = [(w, counts[w], k) for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w.encode())), 1)]
+    got = e.frequencies(spark.createDataFrame([(w,) for w in words], "w string"), F.col("w"))
+    assert [tuple(r) for r in got.orderBy("id").collect()] == want

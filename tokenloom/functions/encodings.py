@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Fixed values of the interchange format: the separators, and what stood for an empty token in old files.
 TOKEN_SEP, LABEL_SEP, EMPTY_TOKEN = "|", ",", ""
@@ -151,12 +151,21 @@ def present_fields(df: DataFrame) -> DataFrame:
     return df.withColumn("present", F.array_compact(F.array(*own)) if own else F.array().cast("array<string>"))
 
 
-def frequencies(df: DataFrame, value: Column) -> DataFrame:
-    """term, n, id: by count, then term; id 0 is the empty term's, whether it is there or not. One row a different term is ranked."""
-    from pyspark.sql import Window
+def _ranked(counted: DataFrame) -> DataFrame:
+    """term, n, id: ranks by count, then term, from 1. Terms of one count are ranked by their first letters apart, so that no window holds all terms."""
+    counted = counted.withColumn("__head", F.substring("term", 1, 3))
+    heads = counted.groupBy("n", "__head").agg(F.count(F.lit(1)).alias("__m"))
+    counts = heads.groupBy("n").agg(F.sum("__m").alias("__all"))  # one row a different count
+    before = counts.select("n", F.coalesce(F.sum("__all").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n_before"))
+    heads = heads.withColumn("__h_before", F.coalesce(F.sum("__m").over(Window.partitionBy("n").orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    heads = heads.join(before, "n").select("n", "__head", (F.col("__n_before") + F.col("__h_before")).alias("__before"))
+    own = counted.withColumn("__at", F.row_number().over(Window.partitionBy("n", "__head").orderBy("term")))
+    return own.join(heads, ["n", "__head"]).select("term", "n", (F.col("__before") + F.col("__at")).cast("long").alias("id"))
+
 
-    counted = df.select(value.alias("term")).where("term IS NOT NULL AND term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("id", F.row_number().over(Window.orderBy(F.col("n").desc(), "term")).cast("long"))
+def frequencies(df: DataFrame, value: Column) -> DataFrame:
+    """term, n, id: by count, then term; id 0 is the empty term's, whether it is there or not."""
+    return _ranked(df.select(value.alias("term")).where("term IS NOT NULL AND term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
 def with_ids(df: DataFrame, value: str, dictionary: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -171,6 +180,4 @@ def merge_dictionaries(*dictionaries: DataFrame) -> DataFrame:
     every = dictionaries[0].select("term", "n")
     for d in dictionaries[1:]:
         every = every.unionAll(d.select("term", "n"))
-    from pyspark.sql import Window
-
-    return every.groupBy("term").agg(F.sum("n").alias("n")).withColumn("id", F.row_number().over(Window.orderBy(F.col("n").desc(), "term")).cast("long"))
+    return _ranked(every.groupBy("term").agg(F.sum("n").alias("n")))
