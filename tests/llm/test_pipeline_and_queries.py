@@ -103,3 +103,12 @@ def test_language_is_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     right = out.join(docs, "doc_id").where("held_out").selectExpr("avg(cast(lang = lang_pred AS double))").first()[0]
     assert right > 0.98 and language_id.FOLDS == 4
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from tokenloom.llm.common import materialise, remove_tables, shared_folder
+
+    kept = materialise(spark.range(3))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    listed = lambda: [s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder) if s.getPath().getName().startswith("tokenloom-")]
+    assert kept.count() == 3 and listed() and remove_tables(spark) > 0 and not listed() and remove_tables(spark) == 0

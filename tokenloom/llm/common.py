@@ -34,14 +34,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[tuple[str, str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation."""
+    """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation.
+
+    The table stays, as what is made of it may be read at any time; remove_tables() takes away those of a session.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tokenloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this session, whose results must have been written by now; how many they were."""
+    own = [x for x in _written if x[0] == spark.sparkContext.applicationId]
+    for x in own:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x[1])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(x)
+    return len(own)
+
+
 def text_of(col: str) -> Column:
     return F.coalesce(F.col(quoted(col)).cast("string"), F.lit(""))
 
