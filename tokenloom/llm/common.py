@@ -26,12 +26,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see. Only where it is unset (tests on one machine), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = jvm_dir.get() if jvm_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="tokenloom-")
-        if not jvm_dir.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tokenloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 _written: list[tuple[str, str]] = []
