@@ -125,12 +125,12 @@ _built: dict[tuple[str, str], str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Where all executors can read and write; a temporary folder only where spark.checkpoint.dir is unset, on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="tokenloom-")
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tokenloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
