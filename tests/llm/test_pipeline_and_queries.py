@@ -106,9 +106,10 @@ def test_language_is_held_out(spark):
 
 
 def test_intermediate_tables_can_be_removed(spark):
-    from tokenloom.llm.common import materialise, remove_tables, shared_folder
+    from tokenloom.llm.common import materialise, remove_tables
 
     kept = materialise(spark.range(3))
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    listed = lambda: [s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder) if s.getPath().getName().startswith("tokenloom-")]
-    assert kept.count() == 3 and listed() and remove_tables(spark) > 0 and not listed() and remove_tables(spark) == 0
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.inputFiles()[0]).getParent()
+    there = lambda: path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    assert kept.count() == 3 and there()
+    assert remove_tables(spark) > 0 and not there() and remove_tables(spark) == 0
