@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..lang.ast import capture_mode
 from ..match.graph import RENDERED_TUPLES
-from ..match.surface import Sentence
+from ..match.surface import MAX_SPANS, Sentence
 from ..plans import candidate as c, native
 from ..plans.compiler import Compiled, compile_query
 
@@ -69,29 +69,29 @@ def count(df: DataFrame, query: str) -> int:
     return hits(df, query).count()
 
 
-def matches(df: DataFrame, query: str, native_only: bool = True) -> DataFrame:
-    """Rows of df that match, with their matches in the column of that name: in order, at most 1024 of a sequence, 256 of a traversal."""
+def matches(df: DataFrame, query: str, native_only: bool = True, capped: bool = False) -> DataFrame:
+    """Rows of df that match, with all their matches in order in the column of that name. capped: at most 1024 of a sequence, 256 of a traversal."""
     q = compile_query(query)
     low = lower(q, df.columns, native_only)
     df = df.where(low.candidate)
-    made = _native_matches(q, df.columns) if native_only else None
+    made = _native_matches(q, df.columns, capped) if native_only else None
     if made is None:
         df = df if low.level == "matcher" else df.where(low.hit)
-        made = _matcher(q, df.columns, rendered=True)
+        made = _matcher(q, df.columns, rendered=True, capped=capped)
     else:
         df = df.where(low.hit)
     return df.withColumn("matches", made).where(F.size("matches") > 0)
 
 
-def _native_matches(q: Compiled, columns: list[str]) -> Column | None:
+def _native_matches(q: Compiled, columns: list[str], capped: bool) -> Column | None:
     """The matches as a plain column, for fixed sequences, runs of one test and bounded walks between tokens."""
-    row = native.Row(columns)
+    row, most_spans, most_tuples = native.Row(columns), *_caps(capped)
     captures = "array<struct<name:string,start:int,end:int>>"
     if q.kind == "surface":
         if (shape := native.fixed(q.pattern)) is not None:
-            found = row.fixed_spans(shape)
+            found = row.fixed_spans(shape, most_spans)
         elif (run := native.run(q.pattern)) is not None:
-            found = row.run_spans(run)
+            found = row.run_spans(run, most_spans)
         else:
             return None
         return F.transform(found, lambda s: F.struct(F.array(s).alias("spans"), F.array().cast(captures).alias("named")))
@@ -107,14 +107,19 @@ def _native_matches(q: Compiled, columns: list[str]) -> Column | None:
         named += [F.struct(F.lit(name).alias("name"), F.least(*at).alias("start"), (F.greatest(*at) + 1).alias("end")) for name in q.graph.names]
         return F.struct(F.array(*spans).alias("spans"), (F.array(*named) if named else F.array().cast(captures)).alias("named"))
 
-    return F.transform(row.walk_tuples(ways, q.graph, graph["edges"], RENDERED_TUPLES), render)
+    return F.transform(row.walk_tuples(ways, q.graph, graph["edges"], most_tuples), render)
+
+
+def _caps(capped: bool) -> tuple[int | None, int | None]:
+    return (MAX_SPANS, RENDERED_TUPLES) if capped else (None, None)
 
 
-def _matcher(q: Compiled, columns: list[str], rendered: bool) -> Column:
+def _matcher(q: Compiled, columns: list[str], rendered: bool, capped: bool = False) -> Column:
     """The matcher over Arrow batches; its arguments are the length, the graph's edges if walked, and the fields tested."""
     names = [f for f in q.fields if f in columns]
     walked = q.kind == "graph"
     text, kind = q.query, q.kind
+    most_spans, most_tuples = _caps(capped)
 
     def run(n: pa.Array, *more: pa.Array) -> pa.Array:
         own = compile_query(text)
@@ -125,11 +130,11 @@ def _matcher(q: Compiled, columns: list[str], rendered: bool) -> Column:
         for i, size in enumerate(lengths):
             s = Sentence(size or 0, lambda f, i=i: values[f][i] if f in values else None)
             if kind == "surface":
-                out.append([{"spans": [_span(x)], "named": []} for x in own.program.spans(s)] if rendered else own.program.hit(s))
+                out.append([{"spans": [_span(x)], "named": []} for x in own.program.spans(s, cap=most_spans)] if rendered else own.program.hit(s))
                 continue
             arcs = None if edges[i] is None else [(e["src"], e["dst"], e["rel"]) for e in edges[i]]
             if rendered:
-                out.append([{"spans": [_span(x) for x in t], "named": _named(own, t)} for t in own.matcher.tuples(s, arcs)])
+                out.append([{"spans": [_span(x) for x in t], "named": _named(own, t)} for t in own.matcher.tuples(s, arcs, most_tuples)])
             else:
                 out.append(own.matcher.hit(s, arcs))
         return pa.array(out, _ARROW if rendered else pa.bool_())

@@ -139,7 +139,7 @@ class Searcher:
     def _fetch(self, df: DataFrame, q: Compiled, request: SearchQuery, limit: int, after: tuple | None):
         """The page's rows are chosen by address first; spans are worked out for them alone."""
         few = page(df, q, limit, after)
-        rows = match.matches(few, request.query).select(*ADDRESS, "doc_id", "sentence_id", "sentence_length", "word", "matches").orderBy(*ADDRESS).collect()
+        rows = match.matches(few, request.query, capped=True).select(*ADDRESS, "doc_id", "sentence_id", "sentence_length", "word", "matches").orderBy(*ADDRESS).collect()
         return rows, match.count(df, request.query) if request.count else None
 
     def _run(self, df: DataFrame, work):

@@ -124,18 +124,18 @@ class Row:
     def fixed_hit(self, shape: Fixed) -> Column:
         return F.exists(self.positions(), lambda i: self.starts_at(shape, i))
 
-    def fixed_spans(self, shape: Fixed) -> Column:
+    def fixed_spans(self, shape: Fixed, cap: int | None = MAX_SPANS) -> Column:
         """Spans with captures, as the matcher gives them."""
         def span(i: Column) -> Column:
             made = [F.struct(F.lit(name).alias("name"), (i + a).cast("int").alias("start"), (i + b).cast("int").alias("end")) for name, a, b in shape.captures]
             captures = F.array(*made) if made else F.array().cast("array<struct<name:string,start:int,end:int>>")
             return F.struct(i.cast("int").alias("start"), (i + len(shape.tests)).cast("int").alias("end"), captures.alias("captures"))
 
-        return F.transform(F.slice(self.starts(shape), 1, MAX_SPANS), span)
+        return F.transform(_first(self.starts(shape), cap), span)
 
     # ---- longest runs of one test
 
-    def run_spans(self, shape: Run) -> Column:
+    def run_spans(self, shape: Run, cap: int | None = MAX_SPANS) -> Column:
         """The longest runs of tokens that hold the test; starts and ends of runs come in the same order."""
         def spans(flags: Column) -> Column:
             at = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
@@ -144,7 +144,7 @@ class Row:
             made = lambda a, b: [F.struct(F.lit(name).alias("name"), a.alias("start"), b.alias("end")) for name in shape.names]
             captures = lambda a, b: F.array(*made(a, b)) if shape.names else F.array().cast("array<struct<name:string,start:int,end:int>>")
             own = F.zip_with(starts, ends, lambda a, b: F.struct(a.cast("int").alias("start"), (b + 1).cast("int").alias("end"), captures(a.cast("int"), (b + 1).cast("int")).alias("captures")))
-            return F.slice(F.filter(own, lambda s: s["end"] - s["start"] >= shape.least), 1, MAX_SPANS)
+            return _first(F.filter(own, lambda s: s["end"] - s["start"] >= shape.least), cap)
 
         flags = F.transform(self.positions(), lambda i: holds(shape.test, self.at(i)))
         return F.element_at(F.transform(F.array(flags), spans), 1)  # the flags are worked out once
@@ -189,8 +189,8 @@ class Row:
         return F.coalesce(_any(first(way) for way in ways[0]), F.lit(False)) & edges.isNotNull()
 
 
-    def walk_tuples(self, ways: list[list[list[Step]]], p: Plan, edges: Column, cap: int) -> Column:
-        """The first cap of the distinct tuples of tokens, one for each endpoint, in order, as structs of t0, t1, ..."""
+    def walk_tuples(self, ways: list[list[list[Step]]], p: Plan, edges: Column, cap: int | None) -> Column:
+        """The first cap (None: all) of the distinct tuples of tokens, one for each endpoint, in order, as structs of t0, t1, ..."""
         none = F.array().cast("array<struct<" + ",".join(f"t{k}:int" for k in range(len(p.endpoints))) + ">>")
 
         def onward(i: int, u: Column, so_far: list[Column]) -> Column:
@@ -211,7 +211,11 @@ class Row:
             own = F.filter(edges, lambda e: _labelled(way[0], e) & holds(start, self.at(_near(way[0], e))))
             return F.flatten(F.transform(own, lambda e: steps(0, way[1:], _far(way[0], e), [_near(way[0], e)])))
 
-        return F.slice(F.array_sort(F.array_distinct(_concat([first(way) for way in ways[0]]))), 1, cap)
+        return _first(F.array_sort(F.array_distinct(_concat([first(way) for way in ways[0]]))), cap)
+
+
+def _first(found: Column, cap: int | None) -> Column:
+    return found if cap is None else F.slice(found, 1, cap)
 
 
 def _concat(parts: list[Column]) -> Column:

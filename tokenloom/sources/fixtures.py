@@ -1,7 +1,8 @@
 """Sentences from plain texts by fixed rules: a stand-in for an annotator, the same in Spark and in SQL.
 
-Lines are cut at full stops; tokens are runs of letters and digits or single signs; sentences of 1 to 40 tokens stay. Tags go by word
-lists and endings, the graph ties each token to its governor by its tag.
+Lines are cut at full stops; tokens are runs of letters and digits or single signs. Tags go by word
+lists and endings, the graph ties each token to its governor by its tag. annotate() gives sentences of every length; sentences(), which
+the queries read, leaves out those of more than MAX_TOKENS, as SQL does, so that the two can be compared.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def sentences_of(doc_id: str, text: str) -> Iterator[tuple]:
         for sn, part in enumerate(line.split(".")):
             word = _TOKEN.findall(part)
             n = len(word)
-            if not 1 <= n <= MAX_TOKENS:
+            if not n:
                 continue
             tags = [tag(w) for w in word]
             arcs, root = edges(tags)
@@ -134,13 +135,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The annotated documents of a folder as a table that is written once a session, in page order within its files."""
+    """Sentences of 1 to MAX_TOKENS tokens of a folder's documents as a table that is written once a session, in page order within its files."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
         parts = spark.sparkContext.defaultParallelism
         path = f"{shared_folder(spark)}/sentences-{uuid.uuid4().hex}"
-        annotate(docs.repartitionByRange(parts, "doc_id")).write.parquet(path)
+        annotate(docs.repartitionByRange(parts, "doc_id")).where(F.col("sentence_length") <= MAX_TOKENS).write.parquet(path)
         _built[key] = path
     return spark.read.parquet(_built[key]).withColumn("split_id", F.col("doc_id").cast("long"))
 
