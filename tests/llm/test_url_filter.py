@@ -81,3 +81,14 @@ def test_odd_tables(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'old' host", "'old' verdict")
     out = filter_urls(df)
     assert found(out) == brute(rows) and sorted(out.columns) == ["host", "html", "page_id", "path", "rule", "url", "verdict"]
+
+
+def test_verdicts_of_a_pattern_stay_when_hosts_are_added(spark):
+    link = lambda *to: " ".join(f'<a href="{t}">l</a>' for t in to)
+    pattern = [
+        (1, "http://spam.info/", link("http://bad.org/es/1")), (2, "http://bad.org/es/1", ""), (3, "http://mixed.info/", link("http://bad.org/es/1")), (4, "http://x.net/de/1", link("http://mixed.info/", "http://good.info/")),
+        (5, "http://good.info/", ""), (6, "http://behind.info/", link("http://spam.info/")), (7, "http://plain.info/", link("http://good.info/")),
+    ]
+    more = [(100 + i, f"http://h{i}.{('com/en', 'org/es', 'net/de', 'info')[i % 4]}/", link(f"http://h{i + 1}.info/")) for i in range(4000)]
+    verdicts = [{r[0]: r[4] for r in found(filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"))) if r[0] < 100} for rows in (pattern, pattern + more)]
+    assert verdicts[0] == verdicts[1] == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "allow"}

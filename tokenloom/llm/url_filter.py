@@ -3,7 +3,8 @@
 Trust is a personalised PageRank that starts from hosts in proportion to the share of their pages that a rule allows and follows
 links; distrust starts from the share that a rule blocks and follows links backwards, to those who link there. A rule has
 judged a seed's own paths already, so a host's other pages are judged by what reaches it over links alone: it is blocked
-if the distrust that reaches it is over DISTRUST and over the trust that does.
+if the distrust that reaches it is over DISTRUST and over the trust that does. Both are counted in pages' shares of one host, not as
+parts of the table's total, so hosts that have nothing to do with it don't change a verdict, however many there are.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def host_links(pages: DataFrame, html_col: str) -> DataFrame:
 
 
 def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, reached: what arrives over edges (a, b, n) in a PageRank that restarts at seeds (host, seed); seeds sum to 1 or less.
+    """host, reached: what arrives over edges (a, b, n) in a PageRank that restarts at seeds (host, seed), in proportion to them.
 
     Each round joins the ranks with the edges and adds up by target. Ranks are written out: lineage stays short, and as both sides of the join are
     plain exchanges, Spark can split the edges of a host with very many.
@@ -77,10 +78,9 @@ def filter_urls(df: DataFrame, url_col: str = "url", html_col: str = "html", rul
     if links.isEmpty():
         return out.withColumn("verdict", F.coalesce("__verdict", F.lit("allow"))).drop("__verdict")
     per = materialise(pages.groupBy("__host").agg(*[F.avg((F.coalesce("__verdict", F.lit("")) == v).cast("double")).alias(v) for v in ("allow", "block")]).withColumnRenamed("__host", "host"))
-    sums = per.agg(F.sum("allow"), F.sum("block")).first()
     judged = None
-    for v, total, edges in (("allow", sums[0], links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "n")), ("block", sums[1], links.select(F.col("dst").alias("a"), F.col("src").alias("b"), "n"))):
-        seeds = per.where(F.col(v) > 0).select("host", (F.col(v) / F.lit(total or 1.0)).alias("seed"))
+    for v, edges in (("allow", links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "n")), ("block", links.select(F.col("dst").alias("a"), F.col("src").alias("b"), "n"))):
+        seeds = per.where(F.col(v) > 0).select("host", F.col(v).alias("seed"))
         reached = spread(seeds, edges).withColumnRenamed("reached", v)
         judged = reached if judged is None else judged.join(reached, "host", "full")
     bad = judged.where((F.coalesce("block", F.lit(0.0)) > F.lit(DISTRUST)) & (F.coalesce("block", F.lit(0.0)) > F.coalesce("allow", F.lit(0.0)))).select(F.col("host").alias("__bad"))
