@@ -83,3 +83,64 @@ def test_no_gate_hides_a_rule(rule):
     text = re.sub(" +", " ", text)
     assert re.search(expression, text), text
     assert keyword in text and any(g in text for g in GATES), text
+
+
+def forms(expression):
+    """Texts that the expression matches: each choice in it (optional part, alternative, letter of a class) both ways, with the others first and last."""
+    from re import _parser as parser
+
+    def render(items, choose):
+        out = ""
+        for op, arg in items:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "IN":
+                letters = [chr(c) for o, v in arg for c in (range(v[0], v[1] + 1) if str(o) == "RANGE" else [v])]
+                out += letters[choose(len(letters))]
+            elif kind == "BRANCH":
+                out += render(arg[1][choose(len(arg[1]))], choose)
+            elif kind == "SUBPATTERN":
+                out += render(arg[3], choose)
+            elif kind == "MAX_REPEAT":
+                low, high, body = arg
+                for _ in range(low + choose(2) if high > low else low):
+                    out += render(body, choose)
+            else:
+                assert kind == "ASSERT", kind
+        return out
+
+    tree, found = list(parser.parse(expression)), set()
+    for last in (False, True):
+        sizes = []
+
+        def base(n, sizes=sizes, last=last):
+            sizes.append(n)
+            return n - 1 if last else 0
+
+        found.add(render(tree, base))
+        for at, n in enumerate(sizes):
+            for other in range(n):
+                count = iter(range(10**6))
+                found.add(render(tree, lambda n, at=at, other=other, last=last, count=count: other if next(count) == at else n - 1 if last else 0))
+    return found
+
+
+@pytest.mark.parametrize("part", range(8))
+def test_no_form_of_a_rule_is_hidden(part):
+    """Every rule, with both forms of each optional part: a text of it passes the gates and has the rule's keyword."""
+    assert len(rules()) == 397
+    for _, keyword, _, _, expression in rules()[part::8]:
+        for form in forms(expression):
+            text = f" {form} "
+            assert re.search(expression, text), (expression, text)
+            assert keyword in text and any(g in text for g in GATES), (keyword, text)
+
+
+def test_fused_and_singular_words(spark):
+    texts = {"Licensed under GPLv3": "gpl-3", "gnu gpl2": "gpl-2", "GPLv2 only": "gpl-2", "X is a registered trademark of Y": "trademark", "trademarks of Y": "trademark", "for noncommercial use only": "noncommercial"}
+    rows = list(enumerate(texts))
+    got = found(license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {r[1]: r[-2] for r in got} == texts
+    for r in got:
+        assert r[2:] == brute(r[1]), r

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
 A rule is a regular expression over the normalised text (lower-case words parted by one space), a keyword without which it
-cannot match, a priority and a confidence. A few words that every rule needs one of gate whole texts; a text that passes them
+cannot match (a whole word, or with a star the start of one), a priority and a confidence. A few words that every rule needs one of gate whole texts; a text that passes them
 tries the rules whose keyword it has. Overlaps are resolved on intervals: sorted by start and longest first, a detection that
 lies inside one of the same or a better priority is suppressed.
 
@@ -36,8 +36,8 @@ NAMES = (
     ("gpl-1", "public", r"(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)?(?: version)? (?:v ?)?1(?: 0)?", "gpl 1 0"),
     ("gpl-2", "public", r"(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)?(?: version)? (?:v ?)?2(?: 0)?", "gpl 2 0"),
     ("gpl-3", "public", r"(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)?(?: version)? (?:v ?)?3(?: 0)?", "gpl 3 0"),
-    ("gpl-2", "gpl", r"(?:gnu )?gpl ?(?:version )?(?:v ?)?2(?: 0)?", "gpl v2"),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl ?(?:version )?(?:v ?)?3(?: 0)?", "gpl v3"),
+    ("gpl-2", "gpl*", r"(?:gnu )?gpl ?(?:version )?(?:v ?)?2(?: 0)?", "gpl v2"),
+    ("gpl-3", "gpl*", r"(?:gnu )?gpl ?(?:version )?(?:v ?)?3(?: 0)?", "gpl v3"),
     ("gpl", "public", r"(?:gnu )?general public license", "gpl"),
     ("lgpl-2", "public", r"(?:gnu )?library general public license(?: version)?(?: (?:v ?)?2(?: 0)?)?", "lgpl 2 0"),
     ("lgpl-2.1", "public", r"(?:gnu )?lesser general public license(?: version)? (?:v ?)?2 1", "lgpl 2 1"),
@@ -124,9 +124,9 @@ NOTICES = (
     ("proprietary", "proprietary", 2, 0.7, r"(?:proprietary and confidential|confidential and proprietary|proprietary licen[cs]e|proprietary software)"),
     ("proprietary", "commercial", 2, 0.7, r"commercial licen[cs]e(?: agreement)?"),
     ("eula", "end", 2, 0.7, r"end user licen[cs]e agreement"),
-    ("noncommercial", "non", 3, 0.5, r"for non ?commercial (?:use|purposes) only"),
+    ("noncommercial", "non*", 3, 0.5, r"for non ?commercial (?:use|purposes) only"),
     ("noncommercial", "noncommercial", 3, 0.5, r"for noncommercial (?:use|purposes) only"),
-    ("trademark", "trademarks", 3, 0.3, r"(?:registered )?trademarks? of"),
+    ("trademark", "trademark*", 3, 0.3, r"(?:registered )?trademarks? of"),
 )
 #: A text without any of these has no detection: every rule's expression holds one of them.
 GATES = ("licen", "spdx", " cc", "creative commons", "public domain", "permission ", "redistribution ", "free software", "provided as is", "warrant", "unencumbered", "rights reserved", "copyright", "proprietary", "commercial", "trademark", "gpl", "bsd", "wtfpl", "mit no attribution")
@@ -154,7 +154,7 @@ def rules() -> list[tuple[str, str, int, float, str]]:
             elif spdx:
                 out.append((label, "spdx", priority, confidence, phrase.format(id=spdx)))
     out += NOTICES
-    return [(label, f" {keyword} ", priority, confidence, f"(?<= )(?:{expression})(?= )") for label, keyword, priority, confidence, expression in out]
+    return [(label, f" {keyword[:-1]}" if keyword.endswith("*") else f" {keyword} ", priority, confidence, f"(?<= )(?:{expression})(?= )") for label, keyword, priority, confidence, expression in out]
 
 
 def normalised(text: Column) -> Column:
