@@ -65,3 +65,20 @@ def test_odd_tables(spark):
     assert extract_main_text(df.limit(0)).collect() == []
     long = spark.createDataFrame([(1, "http://a/", "<article>" + "<p>word word</p>" * 50_000)], "page_id long, url string, html string")
     assert extract_main_text(long).first().text.count("\n") == 49_999
+
+
+BODY = "<p>The body of the page, which is long enough to be its text.</p>"
+TEXT = "The body of the page, which is long enough to be its text."
+
+
+def test_wrappers_do_not_hide_the_text():
+    """Forms and marked classes around the article, main element or nearly all text."""
+    for start, end in (("<form id=aspnetForm>", "</form>"), ("<div class='layout sidebar-right'>", "</div>"), ("<div id='page' class='menu-closed'><form>", "</form></div>")):
+        for tag in ("article", "main"):
+            page = f"<nav>n</nav>{start}<div class='ad'>Buy</div><{tag}>{BODY}<div class='share'>s</div></{tag}><p>c</p>{end}<footer>f</footer>"
+            assert blocks_of(page) == ([TEXT], True), page
+        assert blocks_of(f"<nav>n</nav>{start}{BODY}{end}<footer>f</footer>") == ([TEXT], False)
+    assert blocks_of(f"{BODY}<section class='comments'><article>reader says</article></section>") == ([TEXT], False)
+    assert blocks_of(f"<article><div class='ad'>Buy</div></article>{BODY}") == ([TEXT], False)
+    assert blocks_of(f"<div class='related'><article>teaser</article></div><article>{BODY}</article>") == ([TEXT], True)
+    assert blocks_of(f"{BODY}<form>name <input></form><nav><main>n</main></nav>") == ([TEXT], False)

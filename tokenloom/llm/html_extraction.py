@@ -1,7 +1,8 @@
 """HTML extraction: the article of a page, and a host suffix sort where the page's structure doesn't mark it.
 
 The page is read once as a stream of tags and text. Text in navigation, headers, footers, asides, forms, adverts, notices,
-comments and the like is never kept; if the page has an article or main element, the blocks inside are its text, whole.
+comments and the like is never kept; if the page has an article or main element, the blocks inside are its text, whole. If no
+text is found in one, a form and a mark in a class or id don't hide what contains the article or main element, or nearly all text.
 
 Pages without one are judged by repetition: the token streams of a host's pages are cut into suffixes, each known by its
 first RUN tokens; suffixes that agree on them sort together, and a run that MIN_PAGES distinct pages share is boilerplate. Every
@@ -42,35 +43,58 @@ WALLS = frozenset("article aside body div dialog fieldset footer form header htm
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>(?:[^>"']|"[^"]*"|'[^']*')*))>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _MARK = re.compile(r"[A-Za-z]+")
+#: Share of a page's text (outside of what is never kept) from which on a form or a mark doesn't hide it.
+NEARLY_ALL = 0.9
 #: Words before or after a mark in a class that say it isn't one (has-sidebar, ad-free).
 NOT_MARKS = frozenset("has with without no not non is free less".split())
 
 
-def _boilerplate(name: str, rest: str, in_main: bool) -> bool:
-    if name in NEVER or name == "header" and not in_main:
-        return True
+NONE, SOFT, HARD = range(3)
+
+
+def _boilerplate(name: str, rest: str, in_main: bool) -> int:
+    """HARD: never kept. SOFT: a form or a mark, which may also be a wrapper around the page's text."""
+    if name != "form" and name in NEVER or name == "header" and not in_main:
+        return HARD
+    soft = SOFT if name == "form" else NONE
     if not rest or name in ("html", "body"):
-        return False
+        return soft
     for key, a, b, c in _ATTR.findall(rest):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return HARD
         if key == "role" and value.strip().lower() in ROLES:
-            return True
+            return HARD
         if key in ("class", "id"):
             for one in value.lower().split():
                 words = set(_MARK.findall(one))
                 if not words & NOT_MARKS and (words & MARKS or "header" in words and not in_main):
-                    return True
-    return False
+                    soft = SOFT
+    return soft
 
 
 def blocks_of(page: str | None) -> tuple[list[str], bool]:
     """Blocks of the page's text outside boilerplate, and whether they are those of an article or main element."""
     src = page or ""
-    stack: list[tuple[str, bool, bool]] = []  # name, whether it starts boilerplate, whether it starts the main text
-    skip = main = 0
-    found = False
+    inside, outside, held = _read(src, frozenset())
+    if inside or not held:
+        return (inside, True) if inside else (outside, False)
+    own, hidden = sum(map(len, outside)), sum(h[0] for h in held.values() if h[2])
+    # a wrapper is opened for a main element, for articles that outweigh the rest of the text, or for nearly all text
+    opened = frozenset(at for at, (n, holds, _) in held.items() if holds == "main" or holds and n > own or n and n >= NEARLY_ALL * (own + hidden))
+    if not opened:
+        return outside, False
+    inside, outside, _ = _read(src, opened)
+    return (inside, True) if inside else (outside, False)
+
+
+def _read(src: str, opened: frozenset[int]) -> tuple[list[str], list[str], dict[int, list]]:
+    """Blocks inside and outside of articles and main elements, and by its place in src each element that a form or mark alone hides:
+    characters of its text, whether an article or main element is in it, and whether it is outermost. Those of opened aren't hidden."""
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, whether it starts boilerplate, the main text, boilerplate for good
+    skip = main = hard = 0
+    held: dict[int, list] = {}
+    open_: list[int] = []
     parts: list[str] = []
     inside: list[str] = []
     outside: list[str] = []
@@ -83,11 +107,14 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
                 (inside if main else outside).append(text)
 
     def pop_to(at: int) -> None:
-        nonlocal skip, main
+        nonlocal skip, main, hard
         flush()
-        for _, s, m in stack[at:]:
+        for _, s, m, h in stack[at:]:
             skip -= s
             main -= m
+            hard -= h
+            if s and not h:
+                open_.pop()
         del stack[at:]
 
     at, end = 0, len(src)
@@ -96,9 +123,13 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
         stop = m.start() if m else end
         if not skip and stop > at:
             parts.append(src[at:stop])
+        elif open_ and not hard and stop > at:
+            n = len(src[at:stop].strip())
+            for wrapper in open_:
+                held[wrapper][0] += n
         if not m:
             break
-        at = m.end()
+        place, at = m.start(), m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             if m["cdata"] and not skip:
@@ -107,7 +138,7 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
         if m["end"] or m["end2"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if name in BLOCK or any(s or x or n in BLOCK for n, s, x in stack[i:]):
+                    if name in BLOCK or any(s or x or n in BLOCK for n, s, x, _ in stack[i:]):
                         pop_to(i)
                     else:
                         del stack[i]
@@ -119,7 +150,7 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
         rest = m["rest"] or m["rest2"] or ""
         if name in BLOCK:
             flush()
-        if name in ("body", "article", "main") and any(n == "head" for n, _, _ in stack):
+        if name in ("body", "article", "main") and any(s[0] == "head" for s in stack):
             pop_to(next(i for i, s in enumerate(stack) if s[0] == "head"))
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(src, at)
@@ -134,16 +165,25 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
                 break
             if stack[i][0] in WALLS:
                 break
-        bad = _boilerplate(name, rest, main > 0)
-        start = not bad and not skip and (name in ("article", "main") or 'role="main"' in rest or "role='main'" in rest or "role=main" in rest)
+        how = _boilerplate(name, rest, main > 0)
+        bad, for_good = how == HARD or how == SOFT and place not in opened, how == HARD
+        start = not bad and (name in ("article", "main") or 'role="main"' in rest or "role='main'" in rest or "role=main" in rest)
+        if start and skip:
+            if not hard:
+                for wrapper in open_:
+                    held[wrapper][1] = "article" if name == "article" and held[wrapper][1] != "main" else "main"
+            start = False
         if bad or start:
             flush()
-        stack.append((name, bad, start))
+        stack.append((name, bad, start, for_good))
+        if bad and not for_good:
+            held[place] = [0, "", not skip]
+            open_.append(place)
         skip += bad
         main += start
-        found |= start
+        hard += for_good
     flush()
-    return (inside, True) if found else (outside, False)
+    return inside, outside, held
 
 
 def runs_of(blocks: list[str], run: int = RUN) -> list[int]:
