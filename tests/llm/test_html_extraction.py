@@ -82,3 +82,13 @@ def test_wrappers_do_not_hide_the_text():
     assert blocks_of(f"<article><div class='ad'>Buy</div></article>{BODY}") == ([TEXT], False)
     assert blocks_of(f"<div class='related'><article>teaser</article></div><article>{BODY}</article>") == ([TEXT], True)
     assert blocks_of(f"{BODY}<form>name <input></form><nav><main>n</main></nav>") == ([TEXT], False)
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    menu = "home about news sports weather contact help terms privacy imprint"
+    own = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    texts = [("a", [own("a")])] * 3 + [("b", [own("b"), f"read {i} times"]) for i in range(5)] + [("c", [menu, own("c")])] * 4 + [("c", [menu, own(f"d{i}")]) for i in range(2)] + [("e", [menu])] * 3 + [("f", [menu, own("f")])] * 9
+    df = spark.createDataFrame([(i, f"http://{host}/", "".join(f"<div>{b}</div>" for b in blocks)) for i, (host, blocks) in enumerate(texts)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    for i, (host, blocks) in enumerate(texts):  # the menu goes where three different pages have it, and nothing else
+        assert got[i] == "\n".join(blocks[1:] if host == "c" else blocks), (i, got[i])

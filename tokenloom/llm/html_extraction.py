@@ -5,8 +5,9 @@ comments and the like is never kept; if the page has an article or main element,
 text is found in one, a form and a mark in a class or id don't hide what contains the article or main element, or nearly all text.
 
 Pages without one are judged by repetition: the token streams of a host's pages are cut into suffixes, each known by its
-first RUN tokens; suffixes that agree on them sort together, and a run that MIN_PAGES distinct pages share is boilerplate. Every
-token such a run covers is removed, and the unique runs stay. Suffixes are counted by host and run with partial sums, so a host
+first RUN tokens; suffixes that agree on them sort together, and a run that MIN_PAGES distinct pages share is boilerplate. Pages are
+distinct if their texts differ and, without the runs so shared, still have RUN tokens or more that differ: copies and near copies of a
+page count once, and one that would be left with less keeps its text whole. Every token such a run covers is removed, and the unique runs stay. Suffixes are counted by host and run with partial sums, so a host
 with a third of all pages is never in one task. Text inside an article isn't judged so: articles of one host repeat passages and
 whole texts, and the repeated part is the article nonetheless.
 """
@@ -208,8 +209,8 @@ def without_runs(blocks: list[str], starts: list[int], run: int = RUN) -> list[s
 def extract_main_text(df: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """df with text (the blocks of the main text joined by a newline) and n_chars (its code points).
 
-    A null, empty or text-less page gives an empty text. Repeated rows and identifiers are rows of their own, and count as
-    distinct pages of their host; a null url has the empty host. An empty table stays empty. Input columns named as a made
+    A null, empty or text-less page gives an empty text. Repeated rows and identifiers are rows of their own, but copies of a page count
+    once among the pages of their host; a null url has the empty host. An empty table stays empty. Input columns named as a made
     column are replaced; all others but the html are carried along.
     """
     bounded_batches(df.sparkSession)
@@ -224,6 +225,12 @@ def extract_main_text(df: DataFrame, html_col: str = "html", url_col: str = "url
     def suffixes(blocks: pd.Series) -> pd.Series:
         return blocks.map(lambda b: runs_of(list(b)))
 
+    @F.pandas_udf("long")
+    def rest(blocks: pd.Series, starts: pd.Series) -> pd.Series:
+        """Hash of what is left of a page without the runs at starts; null if it is less than a run."""
+        left = [" ".join(without_runs(list(b), list(s))) for b, s in zip(blocks, starts, strict=True)]
+        return pd.Series([xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) if x.count(" ") >= RUN - 1 else None for x in left], dtype="Int64")
+
     @F.pandas_udf("string")
     def unique(blocks: pd.Series, starts: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(without_runs(list(b), [] if s is None else list(s))) for b, s in zip(blocks, starts, strict=True)])
@@ -232,11 +239,21 @@ def extract_main_text(df: DataFrame, html_col: str = "html", url_col: str = "url
     read_pages = materialise(df.select(*keep, read(F.col(quoted(html_col)).cast("string")).alias("__read"), host_of(F.col(quoted(url_col))).alias("__host")).withColumn("__row", F.monotonically_increasing_id()))
     known = read_pages.where("__read.text IS NOT NULL OR size(__read.blocks) = 0").withColumn("text", F.coalesce("__read.text", F.lit("")))
     open_ = read_pages.where("__read.text IS NULL AND size(__read.blocks) > 0")
-    runs = open_.select("__row", "__host", F.posexplode(suffixes("__read.blocks")).alias("__at", "__run"))
-    shared = runs.select("__row", "__host", "__run").distinct().groupBy("__host", "__run").count().where(F.col("count") >= MIN_PAGES).drop("count")
-    shared = materialise(shared)  # so that the join's sides are plain exchanges, and Spark can split the pages of a run that very many share
-    covered = runs.join(shared, ["__host", "__run"]).groupBy(F.col("__row").alias("__of")).agg(F.collect_list("__at").alias("__starts"))
-    judged = open_.join(covered, F.col("__row") == F.col("__of"), "left").withColumn("text", unique("__read.blocks", F.coalesce("__starts", F.array().cast("array<int>"))))
+    open_ = open_.withColumns({"__page": F.xxhash64("__read.blocks")})
+    pages = open_.groupBy("__host", "__page").agg(F.min("__row").alias("__first"))
+    first = materialise(open_.join(pages.select("__first"), F.col("__row") == F.col("__first"), "left_semi").select("__host", "__page", F.col("__read.blocks").alias("__blocks")))
+    runs = first.select("__host", "__page", F.posexplode(suffixes("__blocks")).alias("__at", "__run"))
+
+    def often(df: DataFrame, by: str) -> DataFrame:
+        """Runs that MIN_PAGES pages of a host or more share, written out so that a join's sides are plain exchanges, and Spark can split the pages of a run that very many share."""
+        return materialise(df.select(by, "__host", "__run").distinct().groupBy("__host", "__run").count().where(F.col("count") >= MIN_PAGES).drop("count"))
+
+    starts = lambda shared: runs.join(shared, ["__host", "__run"]).groupBy("__host", "__page").agg(F.collect_list("__at").alias("__starts"))
+    shared = often(runs, "__page")
+    rests = materialise(first.join(starts(shared), ["__host", "__page"]).select("__host", "__page", rest("__blocks", "__starts").alias("__rest")).where("__rest IS NOT NULL"))
+    shared = often(runs.join(shared, ["__host", "__run"]).join(rests, ["__host", "__page"]), "__rest")
+    covered = starts(shared).join(rests.drop("__rest"), ["__host", "__page"], "left_semi")
+    judged = open_.join(covered, ["__host", "__page"], "left").withColumn("text", unique("__read.blocks", F.coalesce("__starts", F.array().cast("array<int>"))))
     out = known.select(*keep, "text").unionAll(judged.select(*keep, "text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
