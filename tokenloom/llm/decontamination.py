@@ -71,9 +71,14 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, text_col: str = "text"
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", **more) -> DataFrame:
-    """docs without the documents that have an item, columns as they are."""
-    found = materialise(contaminated_pairs(docs, items, text_col, id_col, **more).select(F.col("doc_id").alias("__of")).distinct())
-    return docs.join(broadcast_if_small(found, found.count(), BROADCAST_PAIRS), F.col(quoted(id_col)).eqNullSafe(F.col("__of")), "left_anti")
+    """docs without the documents that have an item, columns as they are.
+
+    Documents are told apart by their text, so identifiers (id_col is not read) may be null or repeated: each row goes or stays for its own text.
+    """
+    key = F.concat_ws(" ", F.xxhash64(text_of(text_col)), F.xxhash64(text_of(text_col), F.lit("2")))
+    texts = docs.select(key.alias("__key"), text_of(text_col).alias("__text"))
+    found = materialise(contaminated_pairs(texts, items, "__text", "__key", **more).select(F.col("doc_id").alias("__of")).distinct())
+    return docs.join(broadcast_if_small(found, found.count(), BROADCAST_PAIRS), key == F.col("__of"), "left_anti")
 
 
 def op3_decontamination(spark, sf_dir):

@@ -175,9 +175,17 @@ def similar_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     at or over the threshold) or equality join with the row's text; copies counts the rows with exactly this text, n_links the
     different texts linked with it. Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. A text of one to
     four words is a single shingle; one without words (or null) links with nothing, but its copies are one class. Rows without
-    identifier get a null class unless a copy has one. Rows that repeat an identifier with different texts are one node of the
-    graph. An empty table gives none.
+    identifier get the class of their text like others; class_id is null only where no text of the class has an identifier. Texts are
+    the nodes, so identifiers may repeat. An empty table gives none.
     """
+    keyed, texts, linked = _linked(df, text_col, id_col, threshold)
+    classes = texts.join(linked, "node", "left").select("h1", "h2", "copies", F.when(F.col("best").isNull(), F.col("low")).otherwise(F.col("best.low")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return keyed.join(classes, ["h1", "h2"]).select(F.col("id").alias(id_col), *MADE)
+
+
+def _linked(df: DataFrame, text_col: str, id_col: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """id, h1, h2 of the rows; node, h1, h2, low (smallest identifier), copies, lows (rows with it) of the texts; node, n_links, best of those
+    compared with others, where best is the text of the class with the smallest identifier, as a struct with low, h1 and h2."""
     spark = df.sparkSession
     bounded_batches(spark)
     forest = spark.sparkContext.broadcast(Forest(threshold=threshold))
@@ -190,17 +198,17 @@ def similar_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     rows = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
     keyed = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit("2"))})
     signed = materialise(keyed.withColumn("prefixes", sign("text")).select("id", "h1", "h2", "prefixes"))
-    texts = signed.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    texts = materialise(texts)
-    nodes = signed.join(texts, ["h1", "h2"]).where("id = node").select("node", F.explode("prefixes").alias("prefix")).distinct()
+    texts = signed.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()))
+    nodes = signed.join(texts, ["h1", "h2"]).where("id <=> low").select("node", F.explode("prefixes").alias("prefix")).distinct()
     nodes = materialise(nodes)
     buckets = nodes.groupBy("prefix").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = materialise(buckets)  # so that the join's sides are plain exchanges, and Spark can split the nodes of a large bucket
     candidates = components(nodes.join(buckets, "prefix").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     sizes = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    held = candidates.join(sizes, "root").join(texts.select("node", "h1", "h2"), "node")
+    held = candidates.join(sizes, "root").join(texts.select("node", "low", "h1", "h2"), "node")
     held = materialise(held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    found = keyed.join(broadcast_if_small(held, held.count(), BROADCAST_NODES), ["h1", "h2"]).where("id = node").dropDuplicates(["node"])
+    found = keyed.join(broadcast_if_small(held, held.count(), BROADCAST_NODES), ["h1", "h2"]).where("id <=> low").dropDuplicates(["node"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("left"), F.greatest(j, F.col("block")).alias("right")))
     tiles = found.select("root", "blocks", "node", "block", "text", F.explode(pairs).alias("tile")).select("*", "tile.left", "tile.right").drop("tile")
     checked = materialise(tiles.groupBy("root", "left", "right").applyInArrow(checking(threshold), CHECKED))
@@ -209,15 +217,28 @@ def similar_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     joined = components(ties.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "root")
     links = ties.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     whole = whole.union(links.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_links"))
-    classes = texts.join(whole, "node", "left").select("h1", "h2", "copies", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select(F.col("id").alias(id_col), *MADE)
+    whole = materialise(whole.join(texts.select("node", "low", "h1", "h2"), "node"))
+    best = whole.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "h1", "h2")).alias("best"))
+    return signed.select("id", "h1", "h2"), texts, whole.select("node", "root", "n_links").join(best, "root").select("node", "n_links", "best")
 
 
 def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """df without the documents whose class has one of a smaller identifier; rows without identifier stay, and all columns."""
-    gone = similar_classes(df, text_col, id_col, threshold).where(F.col(quoted(id_col)) != F.col("class_id")).select(F.col(quoted(id_col)).alias("__gone")).distinct()
-    gone = materialise(gone)
-    return df.join(broadcast_if_small(gone, gone.count(), BROADCAST_NODES), F.col(quoted(id_col)) == F.col("__gone"), "left_anti")
+    """df with one document of each class, the one with the smallest identifier (null ones last, then by a hash of the text), and all columns.
+
+    Documents are told apart by their text, so identifiers may be null or repeated; of rows equal in text and identifier one stays.
+    """
+    _, texts, linked = _linked(df, text_col, id_col, threshold)
+    wins = F.col("best").isNull() | (F.col("best.h1") == F.col("h1")) & (F.col("best.h2") == F.col("h2"))
+    judged = texts.join(linked, "node", "left").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "copies", F.col("low").alias("__low"), wins.alias("__wins")).where("NOT __wins OR copies > 1")
+    judged = materialise(judged.drop("copies"))
+    text, key = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), ("__a", "__b")
+    rows = df.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(text, F.lit("2"))})
+    rows = rows.join(broadcast_if_small(judged, judged.count(), BROADCAST_NODES), (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2")), "left")
+    rows = rows.where(F.col("__wins").isNull() | F.col("__wins") & F.col(quoted(id_col)).cast("long").eqNullSafe(F.col("__low")))
+    several = F.col("__wins").isNotNull()
+    if not judged.where("__wins").isEmpty():  # copies: of those with the smallest identifier one stays
+        rows = rows.where(~several).unionAll(rows.where(several).dropDuplicates(key))
+    return rows.select(*[quoted(c) for c in df.columns])
 
 
 def op7_jaccard_join(spark, sf_dir):
