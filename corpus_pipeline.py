@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenloom.llm import decontamination, exact_dedup, jaccard_join, language_id, mixing
 from tokenloom.llm.common import materialise, quoted
 
+#: What language ID takes for a letter.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -21,6 +23,8 @@ def _documents(df: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: null or empty texts, and those without a letter."""
     trees = language_id.learn(docs.select("doc_id", "text", "lang"))
+    if not trees.languages:  # nothing was learnt, so every text is unknown: only those without a letter go
+        return _documents(docs.where(F.col("text").rlike(LETTER)))
     return _documents(language_id.identify_language(docs, trees).where(F.col("lang_pred") != language_id.UNKNOWN))
 
 

@@ -134,3 +134,16 @@ def test_null_and_repeated_identifiers_against_brute_force_by_row(spark, tmp_pat
     for r in got:
         own = [i for i, t in zip(ids, texts, strict=True) if kind(t) == kind(r.text) and i is not None]
         assert r.doc_id == min(own, default=None)
+
+
+def test_language_stage_where_no_or_only_long_texts_are_labelled(spark, tmp_path):
+    rows = [(1, "the house of the tree", "s"), (2, "Ünï", "s"), (3, None, "s"), (4, "", "s"), (5, "12 !", "s"), (None, "clean too", None)]
+    docs = spark.createDataFrame([(i, t, None, s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.text for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()} == {"the house of the tree", "Ünï", "clean too"}
+    long = [(k, " ".join(f"{w}{i % 7}" for i in range(60_000)), lang, "s", 0) for k, (w, lang) in enumerate([("thehouse", "en"), ("derbaum", "de")])]
+    assert all(len(r[1]) > language_id.SAMPLE_DOC_BYTES for r in long)
+    labelled = spark.createDataFrame(long, docs.schema)
+    trees = language_id.learn(labelled.select("doc_id", "text", "lang"))
+    assert trees.languages == ["de", "en"]
+    out = corpus_pipeline.language(spark, docs.unionAll(labelled), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.lang) for r in out if r.lang) == [(0, "en"), (1, "de")] and len(out) == 5

@@ -22,7 +22,7 @@ from .batches import bounded_batches, segment_sums
 from .common import others, quoted
 
 ORDER = 4
-#: Most bytes of sample learnt from for each language, and of one document in it.
+#: Most bytes of sample learnt from for each language, and of one piece of a document in it.
 SAMPLE_BYTES, SAMPLE_DOC_BYTES = 2_000_000, 200_000
 #: Bytes scored at once.
 WINDOW = 1 << 18
@@ -176,18 +176,27 @@ class ContextTrees:
 
 
 def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> ContextTrees:
-    """Trees from at most sample_bytes of whole texts for each non-null language, drawn by a hash of the identifier."""
+    """Trees from at most sample_bytes of texts for each non-null language, drawn by a hash of the identifier.
+
+    Texts of up to SAMPLE_DOC_BYTES are taken whole; of longer ones, pieces of so many bytes are drawn each by itself.
+    """
     text, lang = F.col(quoted(text_col)), F.col(quoted(lang_col))
-    rows = train.where(lang.isNotNull() & text.isNotNull() & F.octet_length(text).between(1, SAMPLE_DOC_BYTES))
+    rows = train.where(lang.isNotNull() & text.isNotNull() & (F.octet_length(text) > 0))
     sizes = rows.groupBy(lang.alias("lang")).agg(F.sum(F.octet_length(text)).alias("n")).collect()
     samples: dict[str, list[bytes]] = {}
     for r in sizes:
         share = min(1.0, sample_bytes / r["n"])
-        drawn = F.pmod(F.xxhash64(F.col(quoted(id_col)), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+        limit = int(share * (1 << 30)) + 1
+        drawn = lambda *piece: F.pmod(F.xxhash64(F.col(quoted(id_col)), F.lit("sample"), *piece), F.lit(1 << 30)) < limit
+        own = rows.where(lang == r["lang"])
+        short = own.where((F.octet_length(text) <= SAMPLE_DOC_BYTES) & drawn()).select(text.cast("binary").alias("t"))
+        numbers = F.sequence(F.lit(0), F.ceil(F.octet_length(text) / SAMPLE_DOC_BYTES).cast("int") - 1)
+        long = own.where(F.octet_length(text) > SAMPLE_DOC_BYTES).select(text.cast("binary").alias("b"), F.explode(F.filter(numbers, lambda n: drawn(n))).alias("n"))
+        pieces = short.unionAll(long.select(F.substring("b", F.col("n") * SAMPLE_DOC_BYTES + 1, F.lit(SAMPLE_DOC_BYTES)).alias("t")))
         samples[r["lang"]] = []
         left = sample_bytes
-        for (t,) in rows.where((lang == r["lang"]) & drawn).select(text).limit(2 * sample_bytes // 100).toLocalIterator():
-            if (left := left - len(b := t.encode("utf-8", "replace"))) < 0:
+        for (t,) in pieces.limit(2 * sample_bytes // 100).toLocalIterator():
+            if (left := left - len(b := bytes(t))) < 0:
                 break
             samples[r["lang"]].append(b)
     return ContextTrees({k: v for k, v in samples.items() if v}, order)
