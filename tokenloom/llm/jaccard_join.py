@@ -1,8 +1,8 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by banded MinHash with exact verification.
 
-Copies of one text are one node. A node's signature is TREES sequences of MinHash values over its five-word shingles; a tree
-sorts the sequences, and nodes match in it as far as their prefixes agree. The wanted prefix is shortened from MAX_DEPTH until
-two texts at the threshold match in some tree with probability RECALL or more; nodes that agree on such a prefix are candidates.
+Copies of one text are one node. A node's signature is TREES sequences of MinHash values over its five-word shingles, all of one
+length: the longest up to MAX_DEPTH at which two texts at the threshold agree in some sequence with probability RECALL or more.
+Nodes that agree on a sequence are candidates. It is an LSH forest's prefix, worked out beforehand: nothing is sorted or shortened on data.
 Candidates that hang together are compared pair by pair on whole shingle sets. A set of more than BLOCK of them is cut into
 blocks, and every pair of blocks is a group of its own, so no task holds more than two blocks and no pair is left out; a group
 gives back counts of links and a tie to the smallest node it is linked with, never its pairs.
