@@ -115,3 +115,47 @@ def test_components(spark, monkeypatch, bound):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200, 202: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_prefixes_are_shortened_as_far_as_the_sizes_ask():
+    forest = j.Forest()
+    assert forest.depths(1) == forest.depths(3) == (j.MAX_DEPTH,) and forest.depths(500) == (j.depth(),)
+    for n in range(1, 150):
+        for m in range(n, 190):
+            attained = [k / (n + m - k) for k in range(1, n + 1) if k / (n + m - k) >= 0.8 - 1e-9]
+            if attained:
+                met = set(forest.depths(n)) & set(forest.depths(m))
+                assert met and any(1 - (1 - min(attained) ** d) ** j.TREES >= j.RECALL for d in met)
+
+
+def test_recall_of_random_pairs_of_all_sizes():
+    draw, forest, hits, pairs = np.random.default_rng(8), j.Forest(), 0, 0
+    while pairs < 400:
+        n = int(draw.integers(1, 120))
+        every = np.unique(draw.integers(1 << 62, size=n + 40, dtype=np.uint64))
+        cut = int(draw.integers(0, max(1, n // 4) + 1))
+        a, b = every[:n], every[cut : cut + n]
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        pairs += 1
+        keys = forest.prefixes([np.sort(a), np.sort(b)])
+        hits += bool(np.intersect1d(keys[0], keys[1]).size)
+    assert hits >= 0.99 * pairs
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_identifiers_that_repeat_or_are_null_or_no_numbers(spark, kind):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, a + " other")]
+    df = spark.createDataFrame([(None if i is None else i if kind == "long" else f"d{i}", t) for i, t in rows], f"doc_id {kind}, text string")
+    got = {(r.doc_id, r.class_id, r.n_links) for r in j.similar_classes(df).collect()}
+    one = 1 if kind == "long" else "d1"
+    assert {(i, n) for i, _, n in got} == {(one, 2), (one, 1), (2 if kind == "long" else "d2", 2), (3 if kind == "long" else "d3", 1), (None, 2)} and {c for _, c, _ in got} == {one}
+
+
+def test_a_component_that_chance_has_joined_is_parted(spark, monkeypatch):
+    """Chains of texts, each near its neighbours only: one component, whose subtries are small."""
+    monkeypatch.setattr(j, "BLOCK", 8)
+    words = [f"c{k}" for k in range(700)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 100])) for i in range(150)]
+    assert found(j.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)

@@ -1,16 +1,24 @@
-"""N-gram Jaccard self-join by banded MinHash with exact verification.
-
-Copies of one text are one node. A node's signature is TREES sequences of MinHash values over its five-word shingles, all of one
-length: the longest up to MAX_DEPTH at which two texts at the threshold agree in some sequence with probability RECALL or more.
-Nodes that agree on a sequence are candidates. It is an LSH forest's prefix, worked out beforehand: nothing is sorted or shortened on data.
-Candidates that hang together are compared pair by pair on whole shingle sets. A set of more than BLOCK of them is cut into
-blocks, and every pair of blocks is a group of its own, so no task holds more than two blocks and no pair is left out; a group
-gives back counts of links and a tie to the smallest node it is linked with, never its pairs.
+"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+
+Copies of one text are one node. A node's signature is TREES sequences of MAX_DEPTH MinHash values over its five-word shingles;
+each tree is the trie of its sequences, kept as the keys of their prefixes. A node's matched prefix starts at MAX_DEPTH values
+and is shortened, value by value, until the chance to meet a linked text in one of the trees reaches RECALL at the least
+similarity that the sizes of the two sets allow (a text of three shingles can only link with an equal set, one of seven at 6/7 or
+more, a long one at the threshold itself). Nodes that agree on a prefix so shortened are a subtrie, and every pair of a subtrie
+is verified on whole shingle sets; classes are the closure of verified links only.
+
+Pairs are verified in groups. Subtries with the same members count once. Nodes that subtries join into a component of at most
+BLOCK are one group. A larger component is either one group or as many groups as it has subtries, whichever ships fewer texts,
+so that subtries that meet by chance don't multiply each other; a pair that is in several subtries counts in the smallest. A group of more than
+BLOCK is cut into blocks, and every pair of blocks is a tile of its own; tiles are dealt by range, so that none meet in one task by
+chance. A tile gives back counts of links and a tie to the smallest node it is linked with, never its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -18,13 +26,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import bounded_batches
+from .batches import bounded_batches, groups
 from .common import LOWER, UPPER, broadcast_if_small, materialise, quoted
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 24, 8, 0.9999
 BLOCK = 256
+#: A pair with a set of so many shingles or more meets at the length that the threshold itself asks for, as its least similarity is next to it.
+SETTLED = 128
 #: Shingles hashed at once, most words whose hash is remembered, most candidate nodes that are broadcast to the scan of their texts.
 SLAB, KNOWN_WORDS, BROADCAST_NODES = 1 << 15, 150_000, 500_000
 #: A shingle that at most so many texts of a group have is counted pair by pair, others by a product of matrices.
@@ -55,51 +65,75 @@ def shingles(text: bytes | None) -> np.ndarray:
     out = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
         out = (out ^ (out >> np.uint64(31))) * _MIX + h[i : len(h) - n + 1 + i]
-    return np.unique(out)
+    out.sort()
+    return out[np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]))]
 
 
-def depth(trees: int = TREES, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix at which two texts at the threshold still match in one of the trees with the wanted probability."""
-    for d in range(MAX_DEPTH, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+def least_similarity(n: int, m: int, threshold: float = THRESHOLD) -> float | None:
+    """The least similarity at or over the threshold that sets of n and m elements can have; None if they can't reach it."""
+    n, m = min(n, m), max(n, m)
+    shared = max(1, math.ceil(threshold * (n + m) / (1 + threshold) - 1e-9))
+    return shared / (n + m - shared) if shared <= n else None
+
+
+@cache
+def depth(similarity: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> int:
+    """A prefix of MAX_DEPTH values shortened until two texts of that similarity match in one of the trees with the wanted probability."""
+    d = MAX_DEPTH
+    while d > 1 and 1 - (1 - similarity**d) ** trees < recall:
+        d -= 1
+    return d
 
 
 class Forest:
-    """The hash functions of all trees, down to the depth that the recall asks for."""
+    """The hash functions of all trees, and the depths at which a set of a size is entered."""
 
     def __init__(self, trees: int = TREES, threshold: float = THRESHOLD, recall: float = RECALL):
-        self.trees, self.depth = trees, depth(trees, threshold, recall)
+        self.trees, self.threshold, self.recall = trees, threshold, recall
         draw = np.random.default_rng(20240229)
-        self.a = draw.integers(1 << 62, size=(trees, self.depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = draw.integers(1 << 62, size=(trees, self.depth), dtype=np.uint64)
+        self.a = draw.integers(1 << 62, size=(trees, MAX_DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.b = draw.integers(1 << 62, size=(trees, MAX_DEPTH), dtype=np.uint64)
+        self._depths: dict[int, tuple[int, ...]] = {}
+
+    def length(self, n: int, m: int) -> int | None:
+        """Length of the prefix at which sets of n and m elements meet; None if no such two can link."""
+        if max(n, m) >= SETTLED:
+            return depth(self.threshold, self.trees, self.recall)
+        least = least_similarity(n, m, self.threshold)
+        return None if least is None else depth(least, self.trees, self.recall)
+
+    def depths(self, n: int) -> tuple[int, ...]:
+        """Lengths of the prefixes that a set of n elements is entered by, one for each of its possible partners' sizes: one in all for most sizes."""
+        n = min(n, SETTLED)
+        if n not in self._depths:
+            partners = range(max(1, math.ceil(n * self.threshold - 1e-9)), max(SETTLED + 1 if n == SETTLED else 1, math.floor(n / self.threshold + 1e-9) + 1))
+            self._depths[n] = tuple(sorted({d for m in partners if (d := self.length(n, m)) is not None}))
+        return self._depths[n]
 
     def prefixes(self, sets: list[np.ndarray]) -> list[np.ndarray]:
-        """For each set, the hash of its prefix in each tree (which has the tree's number in it); none for an empty set."""
+        """For each set, the keys of its prefixes in each tree (with tree and length in them); none for an empty set."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sets)
-        full = [i for i, s in enumerate(sets) if len(s)]
-        at = 0
-        while at < len(full):
-            end, total = at, 0
-            while end < len(full) and (end == at or total + len(sets[full[end]]) <= SLAB):
-                total += len(sets[full[end]])
-                end += 1
-            here = full[at:end]
-            values = np.concatenate([sets[i] for i in here])
-            starts = np.cumsum([0, *[len(sets[i]) for i in here[:-1]]])
-            prefix = np.zeros((len(here), self.trees), np.uint64)
-            for t in range(self.trees):
-                key = np.full(len(here), t + 1, np.uint64)
-                for d in range(self.depth):
-                    mixed = values * self.a[t, d]
-                    mixed += self.b[t, d]
-                    mixed >>= np.uint64(24)
-                    key = (key ^ (key >> np.uint64(29))) * _MIX + np.minimum.reduceat(mixed, starts)
-                prefix[:, t] = key
-            for row, i in enumerate(here):
-                out[i] = prefix[row].view(np.int64)
-            at = end
+        kinds: dict[tuple[int, ...], list[int]] = {}
+        for i, s in enumerate(sets):
+            if len(s):
+                kinds.setdefault(self.depths(len(s)), []).append(i)
+        for depths, own in kinds.items():
+            for start, end in groups([sets[i] for i in own], SLAB):
+                here = own[start:end]
+                values = np.concatenate([sets[i] for i in here])
+                starts = np.cumsum([0, *[len(sets[i]) for i in here[:-1]]])
+                keys = np.zeros((len(here), len(depths), self.trees), np.uint64)
+                for t in range(self.trees):
+                    key = np.full(len(here), t + 1, np.uint64)
+                    for d in range(depths[-1]):
+                        mixed = values * self.a[t, d]
+                        mixed += self.b[t, d]
+                        mixed >>= np.uint64(24)
+                        key = (key ^ (key >> np.uint64(29))) * _MIX + np.minimum.reduceat(mixed, starts)
+                        if d + 1 in depths:
+                            keys[:, depths.index(d + 1), t] = key + np.uint64(d)
+                for row, i in enumerate(here):
+                    out[i] = keys[row].view(np.int64).ravel()
         return out
 
 
@@ -131,26 +165,45 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-CHECKED = "node long, root long, n_links long, blocks int"
+CHECKED = "node long, root long, n_links long, whole boolean"
+
+
+def met_before(own: list, key: int) -> np.ndarray:
+    """Whether each two of the nodes, whose subtries are own, are together in one with a smaller key than this."""
+    n = len(own)
+    node = np.repeat(np.arange(n), [len(x) for x in own])
+    at = np.concatenate([np.asarray(x, np.int64) for x in own]) if n else np.zeros(0, np.int64)
+    node, at = node[at < key], at[at < key]
+    order = np.argsort(at, kind="stable")
+    node, at = node[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    often = np.diff(np.append(first, len(at)))
+    out = np.zeros((n, n), bool)
+    for f, k in zip(first[often > 1], often[often > 1], strict=True):
+        out[np.ix_(node[f : f + k], node[f : f + k])] = True
+    return out
 
 
 def checking(threshold: float):
-    def check(group: pa.Table) -> pa.Table:
-        """Links within a group of candidates: of each node their number, and the smallest node that it hangs together with here.
+    def check(tile: pa.Table) -> pa.Table:
+        """Links within a tile: of each node their number, and the smallest node that it hangs together with here.
 
-        In a group of two blocks only pairs across them count; those inside a block are the block's own group's.
+        In a tile of two blocks only pairs across them count; those inside a block are the block's own tile's. Pairs that are together in a
+        subtrie with a smaller key count there.
         """
-        node = np.array(group["node"].to_pylist(), np.int64)
+        node = np.array(tile["node"].to_pylist(), np.int64)
         order = np.argsort(node)
         node = node[order]
-        texts = group["text"].cast(pa.binary()).to_pylist()
-        block = np.array(group["block"].to_pylist())[order]
+        texts, own = tile["text"].cast(pa.binary()).to_pylist(), tile["own"].to_pylist()
+        block = np.array(tile["block"].to_pylist())[order]
         sets = [shingles(texts[i]) for i in order]
         size = np.array([len(s) for s in sets])
         shared = common_counts(sets)
         linked = (shared > 0) & (shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9)
-        if group["left"][0].as_py() != group["right"][0].as_py():
+        if tile["left"][0].as_py() != tile["right"][0].as_py():
             linked &= block[:, None] != block[None, :]
+        if linked.any() and any(own):
+            linked &= ~met_before([own[i] for i in order], tile["key"][0].as_py())
         links = linked.sum(axis=0) + linked.sum(axis=1)
         root = np.arange(len(node))
         a, b = np.nonzero(linked)
@@ -163,13 +216,13 @@ def checking(threshold: float):
             if (new == root).all():
                 break
             root = new
-        return pa.table({"node": node, "root": node[root], "n_links": links.astype(np.int64), "blocks": pa.array(np.full(len(node), group["blocks"][0].as_py()), pa.int32())})
+        return pa.table({"node": node, "root": node[root], "n_links": links.astype(np.int64), "whole": pa.array([tile["whole"][0].as_py()] * len(node), pa.bool_())})
 
     return check
 
 
 def similar_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of df: its identifier (long), class_id, copies and n_links.
+    """A row for each row of df: its identifier, class_id, copies and n_links. Identifiers may be of any type that has an order.
 
     class_id is the smallest identifier among all texts that chains of links (Jaccard similarity of the sets of five-word shingles
     at or over the threshold) or equality join with the row's text; copies counts the rows with exactly this text, n_links the
@@ -195,25 +248,38 @@ def _linked(df: DataFrame, text_col: str, id_col: str, threshold: float) -> tupl
         for texts in batches:
             yield pd.Series(forest.value.prefixes([shingles(None if t is None else t.encode("utf-8", "replace")) for t in texts]))
 
-    rows = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
+    rows = df.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
     keyed = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit("2"))})
     signed = materialise(keyed.withColumn("prefixes", sign("text")).select("id", "h1", "h2", "prefixes"))
     texts = signed.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
     texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()))
-    nodes = signed.join(texts, ["h1", "h2"]).where("id <=> low").select("node", F.explode("prefixes").alias("prefix")).distinct()
+    nodes = signed.join(texts, ["h1", "h2"]).where("id <=> low").select("node", F.explode("prefixes").alias("key")).distinct()
     nodes = materialise(nodes)
-    buckets = nodes.groupBy("prefix").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    buckets = materialise(buckets)  # so that the join's sides are plain exchanges, and Spark can split the nodes of a large bucket
-    candidates = components(nodes.join(buckets, "prefix").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    sizes = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    held = candidates.join(sizes, "root").join(texts.select("node", "low", "h1", "h2"), "node")
-    held = materialise(held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    subtries = nodes.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
+    subtries = subtries.groupBy("low", "n", "who").agg(F.min("key").alias("key"))  # those with the same members count once
+    subtries = materialise(subtries)  # so that the join's sides are plain exchanges, and Spark can split the nodes of a large subtrie
+    met = nodes.join(subtries, "key")
+    candidates = components(met.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    shipped = lambda n: n * F.ceil(n / BLOCK)  # noqa: E731  texts that go into the tiles of a group of n
+    cost = subtries.join(candidates.withColumnRenamed("node", "low"), "low").groupBy("root").agg(F.sum(shipped(F.col("n"))).alias("parted"))
+    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(cost, "root")
+    sizes = sizes.select("root", "n", ((F.col("n") > BLOCK) & (F.col("parted") < shipped(F.col("n")))).alias("parted"))
+    held = candidates.join(sizes, "root")
+    place = F.struct(F.col("root").alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    whole = held.where("NOT parted").select("node", F.array(place).alias("places"), F.lit(None).cast("array<long>").alias("own"), (F.col("n") <= BLOCK).alias("whole"))
+    place = F.struct("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    parted = met.select("node", "key", "n").join(held.where("parted").select("node"), "node").groupBy("node").agg(F.collect_list(place).alias("places"))
+    held = whole.unionAll(parted.select("node", "places", F.col("places.key").alias("own"), F.lit(False).alias("whole")))
+    held = materialise(held.join(texts.select("node", "low", "h1", "h2"), "node"))
     found = keyed.join(broadcast_if_small(held, held.count(), BROADCAST_NODES), ["h1", "h2"]).where("id <=> low").dropDuplicates(["node"])
+    found = found.select("node", "text", "own", "whole", F.explode("places").alias("place")).select("*", "place.key", "place.blocks")
+    found = found.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("left"), F.greatest(j, F.col("block")).alias("right")))
-    tiles = found.select("root", "blocks", "node", "block", "text", F.explode(pairs).alias("tile")).select("*", "tile.left", "tile.right").drop("tile")
-    checked = materialise(tiles.groupBy("root", "left", "right").applyInArrow(checking(threshold), CHECKED))
-    whole = checked.where("blocks = 1").select("node", "root", "n_links")
-    ties = checked.where("blocks > 1")
+    tiles = found.select("key", "node", "block", "text", "own", "whole", F.explode(pairs).alias("tile")).select("*", "tile.left", "tile.right").drop("tile")
+    tiles = tiles.repartitionByRange("key", "left", "right")
+    checked = materialise(tiles.groupBy("key", "left", "right").applyInArrow(checking(threshold), CHECKED))
+    whole = checked.where("whole").select("node", "root", "n_links")
+    ties = checked.where("NOT whole")
     joined = components(ties.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "root")
     links = ties.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     whole = whole.union(links.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_links"))
@@ -234,7 +300,7 @@ def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "d
     text, key = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), ("__a", "__b")
     rows = df.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(text, F.lit("2"))})
     rows = rows.join(broadcast_if_small(judged, judged.count(), BROADCAST_NODES), (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2")), "left")
-    rows = rows.where(F.col("__wins").isNull() | F.col("__wins") & F.col(quoted(id_col)).cast("long").eqNullSafe(F.col("__low")))
+    rows = rows.where(F.col("__wins").isNull() | F.col("__wins") & F.col(quoted(id_col)).eqNullSafe(F.col("__low")))
     several = F.col("__wins").isNotNull()
     if not judged.where("__wins").isEmpty():  # copies: of those with the smallest identifier one stays
         rows = rows.where(~several).unionAll(rows.where(several).dropDuplicates(key))
