@@ -92,3 +92,22 @@ def test_copies_of_a_page_keep_their_text(spark):
     got = {r.page_id: r.text for r in extract_main_text(df).collect()}
     for i, (host, blocks) in enumerate(texts):  # the menu goes where three different pages have it, and nothing else
         assert got[i] == "\n".join(blocks[1:] if host == "c" else blocks), (i, got[i])
+
+
+def test_marks_are_whole_names_of_class_and_id_only():
+    read = lambda x: blocks_of(x)[0]
+    assert read('<article><p title="hidden gems">a</p><p data-id="menu">b</p><p alt="x class=ad">c</p></article>') == ["a", "b", "c"]
+    assert read('<main id="skip-to-content"><p>all</p></main><div>x</div>') == ["all"]
+    assert read('<article class="related-work"><section class="related-work">w</section><div class="related-posts">no</div></article>') == ["w"]
+    assert read("<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p></article>") == ["let x=2 be"]
+    assert read("<article>AT&<b>amp;</b> &amp;amp; &lt;b&gt;</article>") == ["AT&amp; &amp; <b>"]
+    assert read('<article class="sidebar-left post">t<div class="siteFooter">no</div><div class="adSlot3">no</div><div class="headline">h</div></article>') == ["t", "h"]
+    assert read('<article class="comment"><p>reader</p></article><article class="post"><p>body</p></article>') == ["body"]
+
+
+def test_what_stands_outside_of_articles_tells_of_boilerplate(spark):
+    menu = "home about news sports weather contact help terms privacy imprint"
+    article = "<article>" + " ".join(f"own{{0}}x{k}" for k in range(12)) + "</article>"
+    rows = [(i, "http://a.x/", f"<div>{menu}</div>" + article.format(i)) for i in range(3)] + [(9, "http://a.x/", f"<div>{menu}</div><div>" + " ".join(f"t{k}" for k in range(12)) + "</div>"), (10, "http://b.x/", f"<div>{menu}</div><div>only page of its host {menu[:9]}</div>")]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert menu not in got[9] and got[9].startswith("t0 t1") and menu in got[10] and got[0].startswith("own0x0")

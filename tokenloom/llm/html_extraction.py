@@ -4,12 +4,14 @@ The page is read once as a stream of tags and text. Text in navigation, headers,
 comments and the like is never kept; if the page has an article or main element, the blocks inside are its text, whole. If no
 text is found in one, a form and a mark in a class or id don't hide what contains the article or main element, or nearly all text.
 
-Pages without one are judged by repetition: the token streams of a host's pages are cut into suffixes, each known by its
-first RUN tokens; suffixes that agree on them sort together, and a run that MIN_PAGES distinct pages share is boilerplate. Pages are
-distinct if their texts differ and, without the runs so shared, still have RUN tokens or more that differ: copies and near copies of a
-page count once, and one that would be left with less keeps its text whole. Every token such a run covers is removed, and the unique runs stay. Suffixes are counted by host and run with partial sums, so a host
-with a third of all pages is never in one task. Text inside an article isn't judged so: articles of one host repeat passages and
-whole texts, and the repeated part is the article nonetheless.
+Pages without one are judged by repetition, in the token streams of all pages of their host: what pages with an article have outside
+of it, and all that the others have. A suffix is known by its first RUN tokens; suffixes that agree on them are neighbours in the host's suffix
+array, and such a run is boilerplate if MIN_PAGES distinct pages share it. Every substring of RUN tokens or more that so many pages share is
+made of runs that they share, and the other way round, so the tokens that these runs cover are exactly those of the array's maximal repeats; they are
+removed, and the unique runs stay. Longer prefixes of the suffixes needn't be sorted for that, and suffixes are counted by host and run with
+partial sums, so a host with a third of all pages is never in one task. Pages are distinct if their texts differ and, without the runs so
+shared, still have RUN tokens or more that differ: copies and near copies of a page count once, and one that would be left with less keeps
+its text whole. Text inside an article isn't judged so: articles of one host repeat passages and whole texts, and the repeated part is the article nonetheless.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ MADE = ("text", "n_chars")
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-NEVER = frozenset("head script style noscript template title textarea svg math iframe object canvas audio video select option button datalist nav footer aside form menu dialog map applet xmp noembed noframes frameset".split())
+NEVER = frozenset("head script style noscript template title textarea svg iframe object canvas audio video select option button datalist nav footer aside form menu dialog map applet xmp noembed noframes frameset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar cookie cookies consent gdpr notice notices banner footer comment comments disqus reply replies share sharing social related newsletter subscribe subscription popup modal overlay login signin signup register widget toolbar pagination pager masthead skip".split())
 ONCE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -42,51 +44,77 @@ CLOSES_P = BLOCK - {"br", "body", "html"}
 WALLS = frozenset("article aside body div dialog fieldset footer form header html main nav ol section table td th ul dl blockquote button figure".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>(?:[^>"']|"[^"]*"|'[^']*')*))>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
-_MARK = re.compile(r"[A-Za-z]+")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Attributes that can tell boilerplate or the main text; an element with none of them isn't looked at.
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_MARK = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Share of a page's text (outside of what is never kept) from which on a form or a mark doesn't hide it.
 NEARLY_ALL = 0.9
-#: Words before or after a mark in a class that say it isn't one (has-sidebar, ad-free).
-NOT_MARKS = frozenset("has with without no not non is free less".split())
+#: Marks that hide an article itself.
+NOT_MAIN = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion comment comments disqus reply replies related".split())
+#: Words that a class may have beside a mark; any other says that it names something else (has-sidebar, ad-free, related-work).
+BESIDE = frozenset("site page main top bottom left right list item items box boxes wrap wrapper container area section block blocks bar buttons button links link posts post articles article stories news content inner outer primary secondary global text title label icon icons group row column panel unit slot zone space holder frame form message policy settings info count thread reader user latest more also read us mobile desktop sticky fixed floating small large big mini inline view first last home body".split())
 
 
 NONE, SOFT, HARD = range(3)
 
 
-def _boilerplate(name: str, rest: str, in_main: bool) -> int:
-    """HARD: never kept. SOFT: a form or a mark, which may also be a wrapper around the page's text."""
+def _attributes(rest: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(rest):
+        out.setdefault(name.lower(), html.unescape(a or b or c))
+    return out
+
+
+def _marked(value: str, in_main: bool, marks_of: frozenset[str] = MARKS) -> bool:
+    """Whether one of the names in a class or id is made of marks and words that go with them."""
+    for one in value.split():
+        words = {w.lower() for w in _MARK.findall(one)}
+        marks = words & marks_of or not in_main and words & {"header"}
+        if marks and words <= MARKS | BESIDE | {"header"}:
+            return True
+    return False
+
+
+def _boilerplate(name: str, attributes: dict[str, str], in_main: bool) -> int:
+    """HARD: never kept. SOFT: a form or a mark, which may also be a wrapper around the page's text.
+
+    A mark never hides a main element, nor, unless it names a comment or an advert, an article that isn't within another.
+    """
     if name != "form" and name in NEVER or name == "header" and not in_main:
         return HARD
     soft = SOFT if name == "form" else NONE
-    if not rest or name in ("html", "body"):
+    if not attributes or name in ("html", "body"):
         return soft
-    for key, a, b, c in _ATTR.findall(rest):
-        key, value = key.lower(), a or b or c
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return HARD
-        if key == "role" and value.strip().lower() in ROLES:
-            return HARD
-        if key in ("class", "id"):
-            for one in value.lower().split():
-                words = set(_MARK.findall(one))
-                if not words & NOT_MARKS and (words & MARKS or "header" in words and not in_main):
-                    soft = SOFT
-    return soft
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+        return HARD
+    if attributes.get("role", "").strip().lower() in ROLES:
+        return HARD
+    if name == "main" or name == "article" and not in_main and not any(_marked(attributes.get(key, ""), True, NOT_MAIN) for key in ("class", "id")):
+        return soft
+    return SOFT if any(_marked(attributes.get(key, ""), in_main) for key in ("class", "id")) else soft
 
 
 def blocks_of(page: str | None) -> tuple[list[str], bool]:
     """Blocks of the page's text outside boilerplate, and whether they are those of an article or main element."""
+    inside, outside = split_page(page)
+    return (inside, True) if inside else (outside, False)
+
+
+def split_page(page: str | None) -> tuple[list[str], list[str]]:
+    """Blocks outside boilerplate in the page's article or main elements, and those in none."""
     src = page or ""
     inside, outside, held = _read(src, frozenset())
     if inside or not held:
-        return (inside, True) if inside else (outside, False)
+        return inside, outside
     own, hidden = sum(map(len, outside)), sum(h[0] for h in held.values() if h[2])
     # a wrapper is opened for a main element, for articles that outweigh the rest of the text, or for nearly all text
     opened = frozenset(at for at, (n, holds, _) in held.items() if holds == "main" or holds and n > own or n and n >= NEARLY_ALL * (own + hidden))
     if not opened:
-        return outside, False
+        return inside, outside
     inside, outside, _ = _read(src, opened)
-    return (inside, True) if inside else (outside, False)
+    return inside, outside
 
 
 def _read(src: str, opened: frozenset[int]) -> tuple[list[str], list[str], dict[int, list]]:
@@ -102,7 +130,7 @@ def _read(src: str, opened: frozenset[int]) -> tuple[list[str], list[str], dict[
 
     def flush() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 (inside if main else outside).append(text)
@@ -123,7 +151,7 @@ def _read(src: str, opened: frozenset[int]) -> tuple[list[str], list[str], dict[
         m = _TAG.search(src, at)
         stop = m.start() if m else end
         if not skip and stop > at:
-            parts.append(src[at:stop])
+            parts.append(html.unescape(src[at:stop]))  # a reference ends where a tag begins
         elif open_ and not hard and stop > at:
             n = len(src[at:stop].strip())
             for wrapper in open_:
@@ -166,9 +194,10 @@ def _read(src: str, opened: frozenset[int]) -> tuple[list[str], list[str], dict[
                 break
             if stack[i][0] in WALLS:
                 break
-        how = _boilerplate(name, rest, main > 0)
+        attributes = _attributes(rest) if rest and _TELLING.search(rest) else {}
+        how = _boilerplate(name, attributes, main > 0)
         bad, for_good = how == HARD or how == SOFT and place not in opened, how == HARD
-        start = not bad and (name in ("article", "main") or 'role="main"' in rest or "role='main'" in rest or "role=main" in rest)
+        start = not bad and (name in ("article", "main") or attributes.get("role", "").strip().lower() == "main")
         if start and skip:
             if not hard:
                 for wrapper in open_:
@@ -218,17 +247,17 @@ def extract_main_text(df: DataFrame, html_col: str = "html", url_col: str = "url
     @F.pandas_udf("text string, blocks array<string>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for pages in batches:
-            rows = [blocks_of(p) for p in pages]
-            yield pd.DataFrame({"text": ["\n".join(b) if known else None for b, known in rows], "blocks": [[] if known else b for b, known in rows]})
+            rows = [split_page(p) for p in pages]
+            yield pd.DataFrame({"text": ["\n".join(inside) if inside else None for inside, _ in rows], "blocks": [outside for _, outside in rows]})
 
     @F.pandas_udf("array<long>")
     def suffixes(blocks: pd.Series) -> pd.Series:
         return blocks.map(lambda b: runs_of(list(b)))
 
     @F.pandas_udf("long")
-    def rest(blocks: pd.Series, starts: pd.Series) -> pd.Series:
-        """Hash of what is left of a page without the runs at starts; null if it is less than a run."""
-        left = [" ".join(without_runs(list(b), list(s))) for b, s in zip(blocks, starts, strict=True)]
+    def rest(blocks: pd.Series, starts: pd.Series, inside: pd.Series) -> pd.Series:
+        """Hash of what is left of a page without the runs at starts, its article included; null if it is less than a run."""
+        left = [" ".join(without_runs(list(b), list(s))) + ("" if pd.isna(i) else f" {i}" + " -" * RUN) for b, s, i in zip(blocks, starts, inside, strict=True)]
         return pd.Series([xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) if x.count(" ") >= RUN - 1 else None for x in left], dtype="Int64")
 
     @F.pandas_udf("string")
@@ -238,10 +267,13 @@ def extract_main_text(df: DataFrame, html_col: str = "html", url_col: str = "url
     keep = others(df, *MADE, html_col)
     read_pages = materialise(df.select(*keep, read(F.col(quoted(html_col)).cast("string")).alias("__read"), host_of(F.col(quoted(url_col))).alias("__host")).withColumn("__row", F.monotonically_increasing_id()))
     known = read_pages.where("__read.text IS NOT NULL OR size(__read.blocks) = 0").withColumn("text", F.coalesce("__read.text", F.lit("")))
-    open_ = read_pages.where("__read.text IS NULL AND size(__read.blocks) > 0")
-    open_ = open_.withColumns({"__page": F.xxhash64("__read.blocks")})
-    pages = open_.groupBy("__host", "__page").agg(F.min("__row").alias("__first"))
-    first = materialise(open_.join(pages.select("__first"), F.col("__row") == F.col("__first"), "left_semi").select("__host", "__page", F.col("__read.blocks").alias("__blocks")))
+    read_pages = read_pages.where("size(__read.blocks) > 0")  # what pages with an article have outside of it tells of boilerplate too
+    inside = F.when(F.size(F.split("__read.text", r"\s+")) >= RUN, F.xxhash64("__read.text"))
+    read_pages = read_pages.withColumns({"__inside": inside, "__page": F.xxhash64("__read.blocks", inside)})
+    open_ = read_pages.where("__read.text IS NULL")
+    pages = read_pages.groupBy("__host", "__page").agg(F.min("__row").alias("__first"))
+    first = read_pages.join(pages.select("__first"), F.col("__row") == F.col("__first"), "left_semi")
+    first = materialise(first.select("__host", "__page", F.col("__read.blocks").alias("__blocks"), "__inside", F.col("__read.text").isNull().alias("__open")))
     runs = first.select("__host", "__page", F.posexplode(suffixes("__blocks")).alias("__at", "__run"))
 
     def often(df: DataFrame, by: str) -> DataFrame:
@@ -250,9 +282,9 @@ def extract_main_text(df: DataFrame, html_col: str = "html", url_col: str = "url
 
     starts = lambda shared: runs.join(shared, ["__host", "__run"]).groupBy("__host", "__page").agg(F.collect_list("__at").alias("__starts"))
     shared = often(runs, "__page")
-    rests = materialise(first.join(starts(shared), ["__host", "__page"]).select("__host", "__page", rest("__blocks", "__starts").alias("__rest")).where("__rest IS NOT NULL"))
+    rests = materialise(first.join(starts(shared), ["__host", "__page"]).select("__host", "__page", "__open", rest("__blocks", "__starts", "__inside").alias("__rest")).where("__rest IS NOT NULL"))
     shared = often(runs.join(shared, ["__host", "__run"]).join(rests, ["__host", "__page"]), "__rest")
-    covered = starts(shared).join(rests.drop("__rest"), ["__host", "__page"], "left_semi")
+    covered = starts(shared).join(rests.where("__open"), ["__host", "__page"], "left_semi")
     judged = open_.join(covered, ["__host", "__page"], "left").withColumn("text", unique("__read.blocks", F.coalesce("__starts", F.array().cast("array<int>"))))
     out = known.select(*keep, "text").unionAll(judged.select(*keep, "text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
