@@ -75,3 +75,54 @@ def test_held_out_accuracy_and_odd_rows(spark, docs, empty, clashing):
 
 def test_made_columns():
     assert MADE == ("lang_pred", "score", "bits_per_byte") and ORDER >= 3
+
+
+def test_und_is_due_where_no_letter_is():
+    trees = ContextTrees({"en": [b"the 12 and 3"], "de": [b"der 12 und 3"]})
+    got = trees.predict(["½ ² 12", "Ⅷ ①", "12 !", "a", "é", "中", None, ""])
+    assert got["lang_pred"].eq("und").tolist() == [True, True, True, False, False, False, True, True]
+
+
+def corpus(spark, path):
+    words = {"en": "the of and to in is that for it with was on are".split(), "de": "der die und das ist nicht von sie mit dem für".split(), "fr": "le la les des est que une dans qui pour avec".split()}
+    draw = random.Random(2)
+    rows = [(i, " ".join(draw.choice(words[x]) for _ in range(draw.randrange(1, 25))), x, "s", 1) for i, x in enumerate(list(words) * 40)]
+    rows += [(500, None, "en", "s", 1), (501, "½ ²", "de", "s", 1), (502, "ohne Sprache", None, "s", 1), (None, "without an identifier", "en", "s", 1), (None, "le la les", "xx", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
+    return rows
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """All rows of the query: what it learns from, predictions, scores."""
+    import zlib
+
+    from tokenloom.llm.language_id import op2_language_id
+
+    rows = corpus(spark, tmp_path)
+    out = lambda i: i is None or zlib.crc32(str(i).encode()) % 4 == 2
+    samples = {}
+    for i, t, lang, *_ in rows:
+        if not out(i) and lang and t:
+            samples.setdefault(lang, []).append(t.encode())
+    want = []
+    for i, t, *_ in rows:
+        lang, score = "und", 0.0
+        if t and any(c.isalpha() for c in t):
+            bits = brute(samples, t.encode(), ORDER)
+            lang, score = sorted(samples)[bits.argmin()], float(1 / np.exp2(bits.min() - bits).sum())
+        want.append((str(i), out(i), lang, pytest.approx(score, abs=1e-4)))  # which text comes first in a sample is left open
+    got = sorted((str(r.doc_id), r.held_out, r.lang_pred, r.score) for r in op2_language_id(spark, str(tmp_path)).collect())
+    key = lambda r: (r[0], r[2])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_samples_are_bounded_drawn_by_hash_and_do_not_depend_on_files(spark, monkeypatch):
+    from tokenloom.llm import language_id as module
+
+    rows = [(i, f"text {i} " * 40, "en" if i % 3 else "de") for i in range(600)] + [(1000, "long " * 20_000, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(module, "SAMPLE_DOC_BYTES", 3000)
+    draw = lambda d: module.draw_samples(d, "text", "lang", "doc_id", 20_000)
+    one, other = draw(df.repartition(7)), draw(df.coalesce(1).orderBy("text"))
+    assert one == other and set(one) == {"de", "en"} and all(16_000 < sum(map(len, x)) <= 20_000 for x in one.values())
+    assert any(t.startswith(b"long") or b"g long" in t for t in one["de"]) and all(len(t) <= 3000 for x in one.values() for t in x)

@@ -11,26 +11,28 @@ language are tabulated for all languages side by side, and a text is scored by l
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import bounded_batches, segment_sums
 from .common import others, quoted
 
 ORDER = 4
-#: Most bytes of sample learnt from for each language, and of one piece of a document in it.
-SAMPLE_BYTES, SAMPLE_DOC_BYTES = 2_000_000, 200_000
+#: Most bytes of sample learnt from for each language, for all languages together, and of one piece of a document in it.
+SAMPLE_BYTES, ALL_SAMPLE_BYTES, SAMPLE_DOC_BYTES = 2_000_000, 256_000_000, 200_000
+#: Pieces are drawn by a hash of so many values; so much more is drawn than is learnt from, as pieces differ in length.
+PLACES, SPARE = 1 << 30, 1.25
 #: Bytes scored at once.
 WINDOW = 1 << 18
 MADE = ("lang_pred", "score", "bits_per_byte")
 UNKNOWN = "und"
 #: Before its first byte a text stands in this context.
 START = b"\n" * ORDER
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,7 +92,7 @@ class ContextTrees:
             if d:
                 parent = self.tables[d - 1].find(keys & mask)
                 context = self.tables[d - 1].find(keys >> np.uint64(8))
-                base, n_contexts = self.costs[d - 1][parent].astype(np.float64), len(self.costs[d - 1])
+                base, n_contexts = self.costs[d - 1][parent], len(self.costs[d - 1])
             else:
                 context, base, n_contexts = np.zeros(len(keys), np.int32), np.repeat(below, len(keys), axis=0), 1
             costs, escapes = np.empty((len(keys), n_lang)), np.zeros((n_contexts, n_lang))
@@ -102,14 +104,14 @@ class ContextTrees:
                 escapes[seen, j] = -np.log2(kinds[seen] / (total[seen] + kinds[seen]))
                 costs[:, j] = base[:, j] + escapes[context, j]
                 costs[at, j] = -np.log2(c / (total[context[at]] + kinds[context[at]]))
-            self.costs.append(costs.astype(np.float32))
-            self.escapes.append(escapes.astype(np.float32))
+            self.costs.append(costs)
+            self.escapes.append(escapes)
             self.tables.append(Lookup(keys))
 
     def cost(self, stream: np.ndarray) -> np.ndarray:
         """Code lengths in bits of the bytes of stream after its first ORDER ones: a row a byte, a column a language."""
         code = strings(stream, self.order + 1)
-        out = np.zeros((len(code), len(self.languages)), np.float32)
+        out = np.zeros((len(code), len(self.languages)))
         left: np.ndarray | slice = slice(None)
         for d in range(self.order, -1, -1):
             row = self.tables[d].find(code)
@@ -175,31 +177,39 @@ class ContextTrees:
         return pd.DataFrame({"lang_pred": lang, "score": score, "bits_per_byte": rate})
 
 
-def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> ContextTrees:
-    """Trees from at most sample_bytes of texts for each non-null language, drawn by a hash of the identifier.
+def draw_samples(train: DataFrame, text_col: str, lang_col: str, id_col: str, sample_bytes: int) -> dict[str, list[bytes]]:
+    """Of each non-null language, at most sample_bytes of its texts, in the order of a hash of identifier, text and piece.
 
-    Texts of up to SAMPLE_DOC_BYTES are taken whole; of longer ones, pieces of so many bytes are drawn each by itself.
+    Texts of up to SAMPLE_DOC_BYTES are taken whole; longer ones are cut into pieces of so many bytes, each drawn by itself. Rows equal in
+    identifier and text count once. Two passes over the rows, however many languages there are: one adds up their bytes, one draws.
     """
-    text, lang = F.col(quoted(text_col)), F.col(quoted(lang_col))
-    rows = train.where(lang.isNotNull() & text.isNotNull() & (F.octet_length(text) > 0))
-    sizes = rows.groupBy(lang.alias("lang")).agg(F.sum(F.octet_length(text)).alias("n")).collect()
+    text, lang = F.col(quoted(text_col)), F.col(quoted(lang_col)).cast("string")
+    rows = train.where(lang.isNotNull() & text.isNotNull() & (F.octet_length(text) > 0)).select(lang.alias("lang"), F.xxhash64(F.col(quoted(id_col)), text).alias("row"), text.cast("binary").alias("b"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("b")).alias("n")).collect()}
+    if not sizes:
+        return {}
+    most = min(sample_bytes, ALL_SAMPLE_BYTES // len(sizes))
+    limits = train.sparkSession.createDataFrame([(x, int(min(1.0, SPARE * most / n) * PLACES)) for x, n in sizes.items()], "lang string, limit long")
+    place = lambda n: F.pmod(F.xxhash64("row", n), F.lit(PLACES))
+    numbers = F.sequence(F.lit(0), F.ceil(F.octet_length("b") / SAMPLE_DOC_BYTES).cast("int") - 1)
+    pieces = rows.join(F.broadcast(limits), "lang").select("lang", "row", "b", F.explode(F.filter(numbers, lambda n: place(n) < F.col("limit"))).alias("n"))
+    pieces = pieces.select("lang", place(F.col("n")).alias("place"), "row", "n", F.substring("b", F.col("n") * SAMPLE_DOC_BYTES + 1, F.lit(SAMPLE_DOC_BYTES)).alias("t"))
+    drawn: dict[str, list[tuple]] = {}
+    for x, *key, t in pieces.dropDuplicates(["lang", "row", "n"]).toLocalIterator():
+        drawn.setdefault(x, []).append((*key, bytes(t)))
     samples: dict[str, list[bytes]] = {}
-    for r in sizes:
-        share = min(1.0, sample_bytes / r["n"])
-        limit = int(share * (1 << 30)) + 1
-        drawn = lambda *piece: F.pmod(F.xxhash64(F.col(quoted(id_col)), F.lit("sample"), *piece), F.lit(1 << 30)) < limit
-        own = rows.where(lang == r["lang"])
-        short = own.where((F.octet_length(text) <= SAMPLE_DOC_BYTES) & drawn()).select(text.cast("binary").alias("t"))
-        numbers = F.sequence(F.lit(0), F.ceil(F.octet_length(text) / SAMPLE_DOC_BYTES).cast("int") - 1)
-        long = own.where(F.octet_length(text) > SAMPLE_DOC_BYTES).select(text.cast("binary").alias("b"), F.explode(F.filter(numbers, lambda n: drawn(n))).alias("n"))
-        pieces = short.unionAll(long.select(F.substring("b", F.col("n") * SAMPLE_DOC_BYTES + 1, F.lit(SAMPLE_DOC_BYTES)).alias("t")))
-        samples[r["lang"]] = []
-        left = sample_bytes
-        for (t,) in pieces.limit(2 * sample_bytes // 100).toLocalIterator():
-            if (left := left - len(b := bytes(t))) < 0:
+    for x, found in drawn.items():
+        left = most
+        for *_, t in sorted(found):
+            if (left := left - len(t)) < 0:
                 break
-            samples[r["lang"]].append(b)
-    return ContextTrees({k: v for k, v in samples.items() if v}, order)
+            samples.setdefault(x, []).append(t)
+    return samples
+
+
+def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> ContextTrees:
+    """Trees from at most sample_bytes of texts for each non-null language, and ALL_SAMPLE_BYTES for all, drawn by a hash."""
+    return ContextTrees(draw_samples(train, text_col, lang_col, id_col, sample_bytes), order)
 
 
 def identify_language(df: DataFrame, trees: ContextTrees, text_col: str = "text") -> DataFrame:
@@ -227,10 +237,12 @@ FOLDS, HELD_OUT = 4, 2
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT
+    """Whether a document is held out of learning; one without identifier is."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
 
 
 def op2_language_id(spark, sf_dir):
+    """Documents without identifier are held out: they aren't learnt from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     trees = learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
     return identify_language(docs.select("doc_id", "text"), trees).select("doc_id", held_out().alias("held_out"), *MADE)
