@@ -12,7 +12,7 @@ from tokenloom.llm import decontamination, exact_dedup, jaccard_join, language_i
 from tokenloom.llm.common import materialise, quoted
 
 #: What language ID takes for a letter.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+LETTER = r"\p{L}"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
