@@ -40,17 +40,23 @@ def test_against_brute_force(spark):
         assert r[2:] == brute(r[1]), r
 
 
-def test_long_texts_window_by_window(spark, monkeypatch):
+def test_long_texts_are_scanned_whole(spark, monkeypatch):
+    """Many detections in one text, in pieces of any size, and runs of years of any length."""
     from tokenloom.llm import license_scan as module
 
     filler = "plain words that say nothing of the kind at all".split()
     texts = [" ".join(" ".join(filler[: k % 9]) + " " + (TEXTS[k % len(TEXTS)] or "") for k in range(start, start + 60)) for start in range(0, 40, 5)]
+    texts += ["x " * n + "copyright" + " 1999" * 200 + " all rights reserved" + " y" * n for n in (3, 3900, 4090, 5000)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     whole = license_scan(df).select("doc_id", "detections").collect()
-    for size in (70, 97, 1000):
-        monkeypatch.setattr(module, "WINDOW_WORDS", size)
+    for size in (2, 7):
+        monkeypatch.setattr(module, "PIECE", size)
         assert sorted(license_scan(df).select("doc_id", "detections").collect()) == sorted(whole)
     assert max(len(r.detections) for r in whole) > 50
+    for r in found(license_scan(df)):
+        assert r[2:] == brute(r[1])
+    years = {r.doc_id: [d for d in r.detections if d.label == "copyright"] for r in whole}
+    assert all(len(years[i]) == 1 and years[i][0].end - years[i][0].start == len("copyright") + 200 * 5 for i in range(8, 12))
 
 
 def test_very_many_detections_in_one_text(spark):
@@ -129,7 +135,7 @@ def forms(expression):
 @pytest.mark.parametrize("part", range(8))
 def test_no_form_of_a_rule_is_hidden(part):
     """Every rule, with both forms of each optional part: a text of it passes the gates and has the rule's keyword."""
-    assert len(rules()) == 397
+    assert len(rules()) > 500
     for _, keyword, _, _, expression in rules()[part::8]:
         for form in forms(expression):
             text = f" {form} "

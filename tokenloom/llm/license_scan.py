@@ -5,7 +5,7 @@ cannot match (a whole word, or with a star the start of one), a priority and a c
 tries the rules whose keyword it has. Overlaps are resolved on intervals: sorted by start and longest first, a detection that
 lies inside one of the same or a better priority is suppressed.
 
-The rules are hand-written names (NAMES, CREATIVE_COMMONS) set into hand-written phrases (PHRASES), and single notices.
+The rules are hand-written names (NAMES, CREATIVE_COMMONS) set into hand-written phrases (PHRASES), single notices (NOTICES), and clauses that licence texts and notices are known by (CLAUSES).
 """
 
 from __future__ import annotations
@@ -128,12 +128,158 @@ NOTICES = (
     ("noncommercial", "noncommercial", 3, 0.5, r"for noncommercial (?:use|purposes) only"),
     ("trademark", "trademark*", 3, 0.3, r"(?:registered )?trademarks? of"),
 )
+#: Clauses of licence texts and notices, in the form of NOTICES.
+CLAUSES = (
+    ("mit", "sublicense", 1, 0.85, r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "permission", 1, 0.85, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "noninfringement", 2, 0.6, r"warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "claim", 2, 0.7, r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit-0", "hereby", 2, 0.6, r"hereby granted free of charge to any person obtaining a copy of this software to deal in the software without restriction"),
+    ("x11", "consortium", 1, 0.85, r"except as contained in this notice the name of (?:the )?x consortium shall not be used in advertising"),
+    ("isc", "appear", 1, 0.85, r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "author", 1, 0.8, r"the author disclaims all warranties with regard to this software"),
+    ("isc", "tortious", 1, 0.75, r"an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", "redistributions", 1, 0.85, r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", 1, 0.85, r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "endorse", 1, 0.9, r"neither the name of (?:[a-z0-9]+ ){0,12}[a-z0-9]+ nor the names of (?:its|any) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", 1, 0.9, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd", "provided", 1, 0.8, r"this software is provided by the (?:copyright holders and contributors|regents and contributors|author and contributors) as is"),
+    ("bsd", "exemplary", 1, 0.75, r"direct indirect incidental special exemplary or consequential damages"),
+    ("bsd", "regents", 1, 0.8, r"the regents of the university of california"),
+    ("apache-2.0", "compliance", 1, 0.9, r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", "obtain", 1, 0.8, r"you may obtain a copy of the license at"),
+    ("apache-2.0", "limitations", 1, 0.9, r"see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", "agreed", 1, 0.9, r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "contributor", 1, 0.85, r"each contributor hereby grants to you a perpetual worldwide non ?exclusive no charge royalty free irrevocable (?:copyright|patent) license"),
+    ("apache-2.0", "notice", 1, 0.75, r"if the work includes a notice text file as part of its distribution"),
+    ("apache-2.0", "prominent", 2, 0.7, r"you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache-1.1", "apache", 1, 0.85, r"this product includes software developed by the apache software foundation"),
+    ("apache", "foundation", 2, 0.7, r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("gpl", "redistribute", 1, 0.85, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "hope", 1, 0.8, r"distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "merchantability", 2, 0.7, r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "received", 1, 0.85, r"you should have received a copy of the gnu general public license along with this program"),
+    ("gpl-2", "franklin", 1, 0.85, r"free software foundation inc 51 franklin (?:st|street) fifth floor boston ma"),
+    ("gpl-2", "temple", 1, 0.85, r"free software foundation inc 59 temple place suite 330 boston ma"),
+    ("gpl-2", "mass", 1, 0.8, r"free software foundation inc 675 mass ave cambridge ma"),
+    ("gpl-3", "later", 1, 0.85, r"either version 3 of the license or at your option any later version"),
+    ("gpl-2", "later", 1, 0.85, r"either version 2 of the license or at your option any later version"),
+    ("lgpl-2.1", "later", 1, 0.85, r"either version 2 1 of the license or at your option any later version"),
+    ("gpl-1", "later", 1, 0.8, r"either version 1 or at your option any later version"),
+    ("gpl-3", "propagate", 1, 0.8, r"to propagate a work means to do anything with it that without permission would make you directly or secondarily liable"),
+    ("gpl-3", "installation", 1, 0.75, r"installation information for a user product means any methods procedures authorization keys"),
+    ("gpl-2", "verbatim", 1, 0.75, r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl-classpath", "linking", 1, 0.85, r"linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("gpl-classpath", "exception", 1, 0.85, r"classpath exception to the (?:gnu )?gpl"),
+    ("gpl-font", "font", 1, 0.8, r"if you create a document which uses this font and embed this font"),
+    ("gcc-exception", "gcc", 1, 0.85, r"gcc runtime library exception"),
+    ("lgpl", "incorporates", 1, 0.85, r"the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("lgpl", "lesser", 1, 0.85, r"you should have received a copy of the gnu lesser general public license along with this (?:library|program)"),
+    ("agpl-3", "remotely", 1, 0.8, r"interacting with it remotely through a computer network"),
+    ("agpl-3", "affero", 1, 0.85, r"you should have received a copy of the gnu affero general public license along with this program"),
+    ("gfdl", "invariant", 1, 0.85, r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", "mozilla", 1, 0.9, r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "mpl", 1, 0.85, r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", "mozilla", 1, 0.9, r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "incompatible", 1, 0.85, r"incompatible with secondary licenses"),
+    ("mpl-1.1", "original", 2, 0.7, r"the initial developer of the original code is"),
+    ("epl", "eclipse", 1, 0.85, r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", "recipient", 1, 0.75, r"any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("cpl-1.0", "common", 1, 0.85, r"the accompanying program is provided under the terms of this common public license"),
+    ("cddl-1.0", "development", 1, 0.85, r"subject to the terms of the common development and distribution license the license"),
+    ("cddl-1.0", "header", 1, 0.75, r"when distributing covered code include this cddl header notice in each file"),
+    ("artistic", "intent", 1, 0.75, r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic", "holder", 1, 0.75, r"such that the copyright holder maintains some semblance of artistic control over the development of the package"),
+    ("artistic-2.0", "standard", 1, 0.75, r"distribute verbatim copies of the source form of the standard version of this package"),
+    ("perl", "perl", 1, 0.85, r"(?:you can|you may) redistribute it and or modify it under the same terms as perl itself"),
+    ("perl", "perl", 2, 0.7, r"same terms as (?:the )?perl(?: 5)?(?: programming language)?(?: system)? itself"),
+    ("zlib", "misrepresented", 1, 0.85, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered", 1, 0.8, r"altered source versions must be plainly marked as such"),
+    ("bsl-1.0", "organization", 1, 0.85, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("bsl-1.0", "executable", 1, 0.8, r"solely in the form of machine executable object code generated by a source language processor"),
+    ("ofl-1.1", "reserved", 1, 0.75, r"no modified version of the font software may use the reserved font name"),
+    ("ofl-1.1", "font", 1, 0.85, r"this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "bundled", 1, 0.75, r"the fonts?(?: including any derivative works)? can be bundled embedded redistributed and or sold"),
+    ("unlicense", "anyone", 1, 0.85, r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", "perpetuity", 1, 0.75, r"overt act of relinquishment in perpetuity of all present and future rights to this software"),
+    ("cc0", "waived", 1, 0.75, r"to the extent possible under law (?:[a-z0-9]+ ){0,8}[a-z0-9]+ has waived all copyright and related or neighboring rights"),
+    ("cc0", "affirmer", 1, 0.8, r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders"),
+    ("wtfpl", "do", 1, 0.85, r"do what the fuck you want to public license"),
+    ("beerware", "beer", 1, 0.85, r"buy me a beer in return"),
+    ("beerware", "beerware", 1, 0.8, r"(?:the )?beerware license"),
+    ("json", "good", 1, 0.8, r"the software shall be used for good not evil"),
+    ("python-2.0", "psf", 1, 0.85, r"psf is making python available to licensee on an as is basis"),
+    ("python-2.0", "python", 1, 0.75, r"python software foundation all rights reserved"),
+    ("php-3.01", "php", 1, 0.85, r"this product includes php software freely available from"),
+    ("openssl", "openssl", 1, 0.85, r"this product includes software developed by the openssl project"),
+    ("openssl", "cryptographic", 1, 0.85, r"this product includes cryptographic software written by eric young"),
+    ("ssleay", "ssleay", 1, 0.75, r"(?:original )?ssleay license"),
+    ("curl", "curl", 2, 0.7, r"copyright notice and this permission notice appear in all copies of curl"),
+    ("sspl-1.0", "server", 1, 0.85, r"server side public license(?: version)?(?: (?:v ?)?1)?"),
+    ("sspl-1.0", "service", 1, 0.8, r"offering the program as a service you must make the service source code available"),
+    ("elastic-2.0", "elastic", 1, 0.85, r"elastic license(?: version)?(?: (?:v ?)?2(?: 0)?)?"),
+    ("elastic-2.0", "hosted", 1, 0.75, r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "commons", 1, 0.85, r"commons clause license condition"),
+    ("commons-clause", "sell", 1, 0.75, r"the license does not include and the license does not grant to you the right to sell the software"),
+    ("busl-1.1", "production", 1, 0.8, r"the licensor may make an additional use grant above permitting limited production use"),
+    ("busl-1.1", "change", 1, 0.75, r"effective on the change date or the fourth anniversary of the first publicly available distribution"),
+    ("polyform", "polyform", 1, 0.85, r"polyform (?:noncommercial|small business|shield|strict|perimeter|free trial) license"),
+    ("openrail", "open*", 1, 0.85, r"(?:creativeml )?open ?rail(?: [ms])?(?: license)?"),
+    ("llama", "llama", 1, 0.85, r"llama (?:2|3|3 1|3 2) community license(?: agreement)?"),
+    ("gemma", "gemma", 1, 0.8, r"gemma (?:terms of use|prohibited use policy)"),
+    ("ms-pl", "contributor", 2, 0.7, r"each contributor grants you a non ?exclusive worldwide royalty free copyright license to reproduce its contribution"),
+    ("ms-rl", "reciprocal", 1, 0.8, r"reciprocal grants for any file you distribute that contains code from the software"),
+    ("ecl-2.0", "educational", 1, 0.85, r"educational community license(?: version)?(?: (?:v ?)?2(?: 0)?)?"),
+    ("cecill", "cecill", 1, 0.85, r"cecill(?: [abc])?(?: free software)?(?: license)?(?: agreement)?"),
+    ("mulan", "mulan", 1, 0.85, r"mulan (?:psl|permissive software license)(?: v2)?"),
+    ("nasa-1.3", "nasa", 1, 0.85, r"nasa open source agreement(?: version)?(?: 1 3)?"),
+    ("ipl-1.0", "ibm", 1, 0.85, r"ibm public license(?: version)?(?: (?:v ?)?1(?: 0)?)?"),
+    ("sun-sissl", "sun", 1, 0.8, r"sun industry standards source license"),
+    ("qpl-1.0", "q", 1, 0.8, r"q public license(?: version)?(?: (?:v ?)?1(?: 0)?)?"),
+    ("lppl", "latex", 1, 0.85, r"latex project public license(?: version)?(?: 1 3c?)?"),
+    ("upl-1.0", "universal", 1, 0.85, r"universal permissive license(?: version)?(?: (?:v ?)?1(?: 0)?)?"),
+    ("blueoak-1.0", "oak", 1, 0.85, r"blue oak model license(?: version)?(?: (?:v ?)?1(?: 0)?(?: 0)?)?"),
+    ("etalab-2.0", "ouverte", 1, 0.8, r"licence ouverte(?: open licence)?(?: version)?(?: 2 0)?"),
+    ("ogl-3.0", "government", 1, 0.85, r"open government licen[cs]e(?: version)?(?: (?:v ?)?[123](?: 0)?)?"),
+    ("us-government", "government", 2, 0.6, r"(?:this )?work of the (?:united states|u s) government"),
+    ("fal-1.3", "art", 1, 0.8, r"(?:free art|art libre) licen[cs]e(?: 1 3)?"),
+    ("hippocratic", "hippocratic", 1, 0.85, r"hippocratic licen[cs]e(?: [123](?: [01])?)?"),
+    ("cc-by-sa", "gfdl", 1, 0.8, r"dual licensed under (?:the )?gfdl and (?:the )?creative commons attribution share ?alike"),
+    ("cc-by", "appropriate", 2, 0.6, r"you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "remix", 2, 0.6, r"if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by-nc", "commercial", 2, 0.6, r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", "remix", 2, 0.6, r"if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc", "readable", 2, 0.6, r"this is a human readable summary of and not a substitute for the license"),
+    ("stackexchange", "contributions", 2, 0.6, r"user contributions licensed under cc by sa"),
+    ("wikipedia", "text", 2, 0.7, r"text is available under the creative commons attribution share ?alike license"),
+    ("proprietary", "confidential", 2, 0.7, r"this (?:document|software|file|material) (?:contains|is|includes) confidential(?: and proprietary)? information"),
+    ("proprietary", "trade", 2, 0.6, r"unpublished trade secret"),
+    ("proprietary", "reproduced", 2, 0.6, r"no part of this (?:publication|book|document|work|site|website) may be reproduced"),
+    ("proprietary", "prohibited", 2, 0.6, r"(?:unauthorized|unauthorised) (?:reproduction|copying|use|duplication)(?: or distribution)?(?: of this (?:file|material|software|content|work))?(?: via any medium)? is strictly prohibited"),
+    ("proprietary", "written", 2, 0.5, r"without (?:the )?(?:prior |express |prior express )?written (?:permission|consent) of"),
+    ("proprietary", "transmitted", 2, 0.5, r"stored in a retrieval system or transmitted in any form or by any means"),
+    ("eula", "bound", 2, 0.7, r"by (?:installing|downloading)(?: copying)? or (?:otherwise )?using (?:the|this) software (?:product )?you agree to be bound"),
+    ("eula", "reverse", 2, 0.6, r"you may not reverse engineer decompile or disassemble"),
+    ("eula", "licensed", 2, 0.6, r"the software is licensed not sold"),
+    ("terms", "terms", 3, 0.4, r"(?:use of this (?:site|website)|your use) (?:is subject to|constitutes acceptance of)(?: our| the)? terms (?:of (?:use|service)|and conditions)"),
+    ("royalty-free", "royalty", 3, 0.4, r"royalty free licen[cs]e"),
+    ("dual-license", "dual", 2, 0.6, r"dual licensed under"),
+    ("dual-license", "option", 2, 0.5, r"at your option under(?: either)?(?: the terms of)?"),
+    ("trademark", "respective", 3, 0.3, r"(?:are|is) (?:the )?(?:property|trademarks?|registered trademarks?) of (?:its|their) respective owners?"),
+    ("warranty-disclaimer", "provided", 2, 0.5, r"provided as is (?:and )?without (?:any )?(?:express or implied )?warrant(?:y|ies)"),
+    ("warranty-disclaimer", "kind", 2, 0.5, r"without warranty of any kind (?:either )?express(?:ed)? or implied"),
+    ("liability-disclaimer", "liable", 3, 0.4, r"(?:in no event|under no circumstances) shall (?:[a-z0-9]+ ){0,8}[a-z0-9]+ be (?:held )?liable for any"),
+    ("no-license", "granted", 3, 0.4, r"no licen[cs]e is granted"),
+    ("attribution", "attribution", 3, 0.4, r"attribution (?:is )?required"),
+    ("noncommercial", "personal", 2, 0.5, r"for personal(?: and)? non ?commercial use"),
+    ("noncommercial", "only", 2, 0.5, r"for (?:educational|academic|research)(?: and research)? (?:use|purposes) only"),
+)
 #: A text without any of these has no detection: every rule's expression holds one of them.
-GATES = ("licen", "spdx", " cc", "creative commons", "public domain", "permission ", "redistribution ", "free software", "provided as is", "warrant", "unencumbered", "rights reserved", "copyright", "proprietary", "commercial", "trademark", "gpl", "bsd", "wtfpl", "mit no attribution")
+GATES = ("licen", "spdx", " cc", "creative commons", "public domain", "permission ", "redistribution ", "free software", "provided as is", "warrant", "unencumbered", "rights reserved", "copyright", "proprietary", "commercial", "trademark", "gpl", "bsd", "wtfpl", "mit no attribution", "software", "redistribut", " gnu ", "liable", "exemplary", "regents", " noninfringement ", " tortious ", "contributor", "prominent notices", "notice text file", "plainly marked", "propagate", "installation information", "verbatim", "linking", "classpath", "this font", " gcc ", "remotely", "invariant", "mozilla", " mpl ", "secondary licenses", "original code", "recipient", "cddl", "a package may", "semblance of artistic", " perl ", "object code", "font name", " fonts ", "font can be", "relinquishment", "waive", "buy me a beer", "beerware", " psf ", "ssleay", "openssl", "as a service", "managed service", " sell ", "grant", " rail", " openrail", "gemma ", "code from the", "cecill", "mulan", "nasa open", "ouverte", "government", " art ", "gfdl", "appropriate credit", "remix", "confidential", "trade secret", "reproduced", "prohibited", "written permission", "written consent", "retrieval system", "reverse engineer", " terms ", "at your option", "respective owner", "personal", "purposes only", "use only", "attribution required", "attribution is required", "do what the", "free software foundation", "advertising", "change date", "unless required by")
 MADE = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 LEVELS = 4
-#: Words of a window that a longer text is scanned by, and words around it that are looked at too; no rule matches as many words.
-WINDOW_WORDS, MARGIN_WORDS = 4096, 64
+#: Items that a sweep gathers before it puts them away: appending costs time in the length of what is appended to.
+PIECE = 256
 
 
 @cache
@@ -153,7 +299,7 @@ def rules() -> list[tuple[str, str, int, float, str]]:
                 out.append((label, keyword, priority, confidence, phrase.format(name=name)))
             elif spdx:
                 out.append((label, "spdx", priority, confidence, phrase.format(id=spdx)))
-    out += NOTICES
+    out += NOTICES + CLAUSES
     return [(label, f" {keyword[:-1]}" if keyword.endswith("*") else f" {keyword} ", priority, confidence, f"(?<= )(?:{expression})(?= )") for label, keyword, priority, confidence, expression in out]
 
 
@@ -166,23 +312,48 @@ def spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
+_MATCH = "array<struct<start:int,end:int>>"
+_FOUND = "array<struct<rule:int,label:string,start:int,end:int,priority:int,confidence:double>>"
+
+
+def none_yet(kind: str) -> list[Column]:
+    """The two fields of an accumulator that appended() adds to."""
+    return [F.array().cast(kind).alias("piece"), F.array().cast(f"array<{kind}>").alias("pieces")]
+
+
+def appended(acc: Column, item: Column, kind: str, wanted: Column | None = None) -> list[Column]:
+    """The accumulator's fields with item, where it is wanted: full pieces are put away whole, so that very many items cost about linear time."""
+    full = F.size(acc["piece"]) >= PIECE
+    piece, pieces = F.concat(F.when(full, F.array().cast(kind)).otherwise(acc["piece"]), F.array(item)), F.when(full, F.concat(acc["pieces"], F.array(acc["piece"]))).otherwise(acc["pieces"])
+    if wanted is not None:
+        piece, pieces = F.when(wanted, piece).otherwise(acc["piece"]), F.when(wanted, pieces).otherwise(acc["pieces"])
+    return [piece.alias("piece"), pieces.alias("pieces")]
+
+
+def gathered(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["pieces"]), acc["piece"])
+
+
 def matches(text: Column, rule: Column) -> Column:
     """Intervals of a rule's matches in text, as start and end characters from 0."""
     def put(acc, pair):
         start = acc["at"] + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("found"))
+        return F.struct(end.alias("at"), *appended(acc, F.struct(start.alias("start"), end.alias("end")), _MATCH))
 
-    none = F.array().cast("array<struct<start:int,end:int>>")
     hits = F.regexp_extract_all(text, rule, F.lit(0))
     each = lambda h: F.zip_with(h, F.slice(F.split(text, rule, -1), 1, F.size(h)), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
-    return let(hits, lambda h: F.when(F.size(h) > 0, F.aggregate(each(h), F.struct(F.lit(0).alias("at"), none.alias("found")), put, lambda acc: acc["found"])).otherwise(none))
+    return let(hits, lambda h: F.when(F.size(h) > 0, F.aggregate(each(h), F.struct(F.lit(0).alias("at"), *none_yet(_MATCH)), put, gathered)).otherwise(F.array().cast(_MATCH)))
 
 
 def detected(text: Column) -> Column:
     """All detections in text in order: start, longest first, best priority, first rule."""
-    table = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(expression).alias("expression")) for n, (label, keyword, priority, confidence, expression) in enumerate(rules())])
-    tried = F.filter(table, lambda r: F.contains(text, r["keyword"]))
+    by_keyword: dict[str, list[Column]] = {}
+    for n, (label, keyword, priority, confidence, expression) in enumerate(rules()):
+        rule = F.struct(F.lit(n).alias("rule"), F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(expression).alias("expression"))
+        by_keyword.setdefault(keyword, []).append(rule)
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
+    tried = F.flatten(F.transform(F.filter(table, lambda k: F.contains(text, k["keyword"])), lambda k: k["rules"]))
     found = F.flatten(F.transform(tried, lambda r: F.transform(matches(text, r["expression"]), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("minus_end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
     return F.array_sort(found)
 
@@ -194,29 +365,9 @@ def resolved(found: Column) -> Column:
         inside = F.element_at(acc["ends"], d["priority"] + 1) >= end
         ends = F.transform(acc["ends"], lambda e, level: F.when(level >= d["priority"], F.greatest(e, end)).otherwise(e))
         kept = F.struct(d["rule"].alias("rule"), d["label"].alias("label"), d["start"].alias("start"), end.alias("end"), d["priority"].alias("priority"), d["confidence"].alias("confidence"))
-        return F.struct(ends.alias("ends"), F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(kept))).alias("kept"))
-
-    none = F.array().cast("array<struct<rule:int,label:string,start:int,end:int,priority:int,confidence:double>>")
-    return F.aggregate(found, F.struct(F.array(*[F.lit(-1)] * LEVELS).alias("ends"), none.alias("kept")), sweep, lambda acc: acc["kept"])
-
-
-def scanned(text: Column, n: Column) -> Column:
-    """The detections of a normalised text of n words that stay. Adding up places costs time in the square of their number, so a long text is
-    scanned window by window, with margins wide enough for whatever a detection in the window could be part of."""
-    def window(words: Column, at: Column) -> Column:
-        before = lambda k: F.length(F.array_join(F.slice(words, 1, k), " ")) + F.when(k > 0, 1).otherwise(0)  # noqa: E731  characters before word k
-
-        def own(first: Column) -> Column:
-            piece = F.concat(F.lit(" "), F.array_join(F.slice(words, first + 1, at + (WINDOW_WORDS + MARGIN_WORDS) - first), " "), F.lit(" "))
-            limits = F.struct(before(first).alias("off"), before(at).alias("low"), before(at + WINDOW_WORDS).alias("high"))
-            moved = lambda c, d: F.struct(d["rule"].alias("rule"), d["label"].alias("label"), (d["start"] + c["off"]).alias("start"), (d["end"] + c["off"]).alias("end"), d["priority"].alias("priority"), d["confidence"].alias("confidence"))
-            found = lambda c: F.transform(let(piece, lambda t: resolved(detected(t))), lambda d: moved(c, d))
-            return let(limits, lambda c: F.filter(found(c), lambda d: (d["start"] > c["low"]) & (d["start"] <= c["high"])))
-
-        return let(F.greatest(at - MARGIN_WORDS, F.lit(0)), own)
+        return F.struct(ends.alias("ends"), *appended(acc, kept, _FOUND, ~inside))
 
-    windows = lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(WINDOW_WORDS)), lambda at: window(w, at)))
-    return F.when(n <= WINDOW_WORDS, resolved(detected(text))).otherwise(let(F.split(F.trim(text), " "), windows))
+    return F.aggregate(found, F.struct(F.array(*[F.lit(-1)] * LEVELS).alias("ends"), *none_yet(_FOUND)), sweep, gathered)
 
 
 def license_scan(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -225,11 +376,10 @@ def license_scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty texts have no words and no detections: counts 0, places null, labels empty, score 0. The score is the best
     confidence of the detections that stay, 0.5 if only a base phrase is there. Labels are distinct, sorted, comma-joined;
     those of the base phrases are always among them. Each row stands alone: repeated rows and identifiers don't matter, nothing
-    is shuffled. Input columns named as a made column are replaced; all others are carried along.
+    is shuffled. A text of any length is scanned whole, once for each rule whose keyword it has. Input columns named as a made column are replaced; all others are carried along.
     """
-    kind = "array<struct<rule:int,label:string,start:int,end:int,priority:int,confidence:double>>"
     phrases = "(?<= )(?:" + "|".join(p for p, _ in BASE) + ")(?= )"
-    none = F.array().cast(kind)
+    none = F.array().cast(_FOUND)
 
     def scan(t: Column) -> Column:
         n = F.greatest(spaces(t) - 1, F.lit(0))
@@ -245,7 +395,7 @@ def license_scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         labels = F.array_sort(F.array_compact(F.array(*[F.when(F.contains(t, F.lit(f" {p} ")), F.lit(label)) for p, label in BASE])))
         return F.struct(
             n.alias("n_words"), F.when(base, F.size(hits)).otherwise(0).cast("long").alias("n_base"), F.when(base, first).alias("first_word"), F.when(base, last).alias("last_word"),
-            F.when(base, labels).otherwise(F.array().cast("array<string>")).alias("base"), F.when(gate, scanned(t, n)).otherwise(none).alias("detections"),
+            F.when(base, labels).otherwise(F.array().cast("array<string>")).alias("base"), F.when(gate, resolved(detected(t))).otherwise(none).alias("detections"),
         )
 
     out = df.withColumn("__scan", let(normalised(text_of(text_col)), scan))
