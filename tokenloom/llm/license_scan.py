@@ -278,7 +278,7 @@ CLAUSES = (
 GATES = ("licen", "spdx", " cc", "creative commons", "public domain", "permission ", "redistribution ", "free software", "provided as is", "warrant", "unencumbered", "rights reserved", "copyright", "proprietary", "commercial", "trademark", "gpl", "bsd", "wtfpl", "mit no attribution", "software", "redistribut", " gnu ", "liable", "exemplary", "regents", " noninfringement ", " tortious ", "contributor", "prominent notices", "notice text file", "plainly marked", "propagate", "installation information", "verbatim", "linking", "classpath", "this font", " gcc ", "remotely", "invariant", "mozilla", " mpl ", "secondary licenses", "original code", "recipient", "cddl", "a package may", "semblance of artistic", " perl ", "object code", "font name", " fonts ", "font can be", "relinquishment", "waive", "buy me a beer", "beerware", " psf ", "ssleay", "openssl", "as a service", "managed service", " sell ", "grant", " rail", " openrail", "gemma ", "code from the", "cecill", "mulan", "nasa open", "ouverte", "government", " art ", "gfdl", "appropriate credit", "remix", "confidential", "trade secret", "reproduced", "prohibited", "written permission", "written consent", "retrieval system", "reverse engineer", " terms ", "at your option", "respective owner", "personal", "purposes only", "use only", "attribution required", "attribution is required", "do what the", "free software foundation", "advertising", "change date", "unless required by")
 MADE = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 LEVELS = 4
-#: Items that a sweep gathers before it puts them away: appending costs time in the length of what is appended to.
+#: Items of a run that a sweep gathers: appending costs time in the length of what is appended to.
 PIECE = 256
 
 
@@ -316,43 +316,38 @@ _MATCH = "array<struct<start:int,end:int>>"
 _FOUND = "array<struct<rule:int,label:string,start:int,end:int,priority:int,confidence:double>>"
 
 
-def none_yet(kind: str) -> list[Column]:
-    """The two fields of an accumulator that appended() adds to."""
-    return [F.array().cast(kind).alias("piece"), F.array().cast(f"array<{kind}>").alias("pieces")]
-
-
-def appended(acc: Column, item: Column, kind: str, wanted: Column | None = None) -> list[Column]:
-    """The accumulator's fields with item, where it is wanted: full pieces are put away whole, so that very many items cost about linear time."""
-    full = F.size(acc["piece"]) >= PIECE
-    piece, pieces = F.concat(F.when(full, F.array().cast(kind)).otherwise(acc["piece"]), F.array(item)), F.when(full, F.concat(acc["pieces"], F.array(acc["piece"]))).otherwise(acc["pieces"])
-    if wanted is not None:
-        piece, pieces = F.when(wanted, piece).otherwise(acc["piece"]), F.when(wanted, pieces).otherwise(acc["pieces"])
-    return [piece.alias("piece"), pieces.alias("pieces")]
-
-
-def gathered(acc: Column) -> Column:
-    return F.concat(F.flatten(acc["pieces"]), acc["piece"])
+def pieces_of(items: Column) -> Column:
+    """Items cut into runs of PIECE. Sweeps start anew in each with what the runs before it add up to, so very many items cost about linear time."""
+    runs = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / PIECE).cast("int") - 1, F.lit(0))), lambda k: F.slice(x, k * PIECE + 1, PIECE))
+    return let(items, runs)
 
 
 def matches(text: Column, rule: Column) -> Column:
     """Intervals of a rule's matches in text, as start and end characters from 0."""
     def put(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        return F.struct(end.alias("at"), *appended(acc, F.struct(start.alias("start"), end.alias("end")), _MATCH))
+        start = acc["at"] + pair["gap"]
+        end = start + pair["hit"]
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("found"))
 
+    none = F.array().cast(_MATCH)
     hits = F.regexp_extract_all(text, rule, F.lit(0))
-    each = lambda h: F.zip_with(h, F.slice(F.split(text, rule, -1), 1, F.size(h)), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
-    return let(hits, lambda h: F.when(F.size(h) > 0, F.aggregate(each(h), F.struct(F.lit(0).alias("at"), *none_yet(_MATCH)), put, gathered)).otherwise(F.array().cast(_MATCH)))
+    each = lambda h: F.zip_with(h, F.slice(F.split(text, rule, -1), 1, F.size(h)), lambda hit, gap: F.struct(F.length(hit).alias("hit"), F.length(gap).alias("gap")))
+    length = lambda run: F.aggregate(run, F.lit(0), lambda n, pair: n + pair["gap"] + pair["hit"])
+    upto = lambda lengths, k: F.aggregate(F.slice(lengths, 1, k), F.lit(0), lambda n, x: n + x)
+    swept = lambda runs, lengths: F.flatten(F.transform(runs, lambda run, k: F.aggregate(run, F.struct(upto(lengths, k).alias("at"), none.alias("found")), put, lambda acc: acc["found"])))
+    of = lambda runs: let(F.transform(runs, length), lambda lengths: swept(runs, lengths))
+    return let(hits, lambda h: F.when(F.size(h) > 0, let(pieces_of(each(h)), of)).otherwise(none))
 
 
 def detected(text: Column) -> Column:
     """All detections in text in order: start, longest first, best priority, first rule."""
-    by_keyword: dict[str, list[Column]] = {}
+    by_keyword: dict[str, list[str]] = {}
+    text_of_sql = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     for n, (label, keyword, priority, confidence, expression) in enumerate(rules()):
-        rule = F.struct(F.lit(n).alias("rule"), F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(expression).alias("expression"))
+        rule = f"named_struct('rule', {n}, 'label', {text_of_sql(label)}, 'priority', {priority}, 'confidence', {confidence}D, 'expression', {text_of_sql(expression)})"
         by_keyword.setdefault(keyword, []).append(rule)
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
+    # one literal, parsed at once: hundreds of columns made one by one would take the driver seconds
+    table = F.expr("array(" + ", ".join(f"named_struct('keyword', {text_of_sql(k)}, 'rules', array({', '.join(own)}))" for k, own in by_keyword.items()) + ")")
     tried = F.flatten(F.transform(F.filter(table, lambda k: F.contains(text, k["keyword"])), lambda k: k["rules"]))
     found = F.flatten(F.transform(tried, lambda r: F.transform(matches(text, r["expression"]), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("minus_end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
     return F.array_sort(found)
@@ -360,14 +355,19 @@ def detected(text: Column) -> Column:
 
 def resolved(found: Column) -> Column:
     """Without the detections that lie inside one of the same or a better priority."""
+    nowhere = F.array(*[F.lit(-1)] * LEVELS)
+    reach = lambda ends, d: F.transform(ends, lambda e, level: F.when(level >= d["priority"], F.greatest(e, -d["minus_end"])).otherwise(e))
+
     def sweep(acc, d):
         end = -d["minus_end"]
         inside = F.element_at(acc["ends"], d["priority"] + 1) >= end
-        ends = F.transform(acc["ends"], lambda e, level: F.when(level >= d["priority"], F.greatest(e, end)).otherwise(e))
         kept = F.struct(d["rule"].alias("rule"), d["label"].alias("label"), d["start"].alias("start"), end.alias("end"), d["priority"].alias("priority"), d["confidence"].alias("confidence"))
-        return F.struct(ends.alias("ends"), *appended(acc, kept, _FOUND, ~inside))
+        return F.struct(reach(acc["ends"], d).alias("ends"), F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(kept))).alias("kept"))
 
-    return F.aggregate(found, F.struct(F.array(*[F.lit(-1)] * LEVELS).alias("ends"), *none_yet(_FOUND)), sweep, gathered)
+    none = F.array().cast(_FOUND)
+    before = lambda ends, k: F.aggregate(F.slice(ends, 1, k), nowhere, lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    swept = lambda runs, ends: F.flatten(F.transform(runs, lambda run, k: F.aggregate(run, F.struct(before(ends, k).alias("ends"), none.alias("kept")), sweep, lambda acc: acc["kept"])))
+    return let(pieces_of(found), lambda runs: let(F.transform(runs, lambda run: F.aggregate(run, nowhere, reach)), lambda ends: swept(runs, ends)))
 
 
 def license_scan(df: DataFrame, text_col: str = "text") -> DataFrame:
