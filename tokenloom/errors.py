@@ -41,3 +41,7 @@ class SchemaMismatch(EngineError):
 
 class InvalidDocument(EngineError):
     """An annotated document breaks the rules of the input format, and the policy is to fail."""
+
+
+class ConfigError(EngineError):
+    """A setting that the run needs is missing."""

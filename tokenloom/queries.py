@@ -39,8 +39,8 @@ SPANS: dict[str, tuple[str, str]] = {
     "pr_bare_regex": ("/[a-z]+ing/", "SELECT sentence_id, i AS s, i + 1 AS e FROM tok WHERE regexp_full_match(w, '[a-z]+ing')"),
     "pr_wildcard": ("[]", "SELECT sentence_id, i AS s, i + 1 AS e FROM tok"),
     "pr_missing_field": ("[nosuch!=x & tag=CD]", "SELECT sentence_id, i AS s, i + 1 AS e FROM tok WHERE tag = 'CD'"),
-    "sq_adjacent": ("[tag=DT] [tag=NN]", "SELECT a.sentence_id, a.i AS s, b.i + 1 AS e FROM tok a JOIN tok b ON a.sentence_id = b.sentence_id AND b.i = a.i + 1 WHERE a.tag = 'DT' AND b.tag = 'NN'"),
-    "sq_gap": ("[tag=DT] [] [tag=NN]", "SELECT a.sentence_id, a.i AS s, b.i + 1 AS e FROM tok a JOIN tok b ON a.sentence_id = b.sentence_id AND b.i = a.i + 2 WHERE a.tag = 'DT' AND b.tag = 'NN'"),
+    "sq_adjacent": ("[tag=DT] [tag=NN]", "SELECT sentence_id, i AS s, i + 2 AS e FROM (SELECT *, lead(tag) OVER (PARTITION BY sentence_id ORDER BY i) AS x FROM tok) WHERE tag = 'DT' AND x = 'NN'"),
+    "sq_gap": ("[tag=DT] [] [tag=NN]", "SELECT sentence_id, i AS s, i + 3 AS e FROM (SELECT *, lead(tag, 2) OVER (PARTITION BY sentence_id ORDER BY i) AS x FROM tok) WHERE tag = 'DT' AND x = 'NN'"),
     "sq_bounded_gap": ("[tag=DT] []{0,3}? [tag=VBD]", "SELECT a.sentence_id, a.i AS s, min(b.i) + 1 AS e FROM tok a JOIN tok b ON a.sentence_id = b.sentence_id AND b.i BETWEEN a.i + 1 AND a.i + 4 WHERE a.tag = 'DT' AND b.tag = 'VBD' GROUP BY ALL"),
     "sq_lazy_star": ("[tag=VBD] []*? [tag=IN]", "SELECT a.sentence_id, a.i AS s, min(b.i) + 1 AS e FROM tok a JOIN tok b ON a.sentence_id = b.sentence_id AND b.i > a.i WHERE a.tag = 'VBD' AND b.tag = 'IN' GROUP BY ALL"),
     "sq_plus_greedy": ("[tag=/NN.*/]+", "SELECT sentence_id, min(i) AS s, max(i) + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY sentence_id ORDER BY i) AS g FROM tok WHERE tag LIKE 'NN%') GROUP BY sentence_id, g"),
@@ -352,8 +352,10 @@ OTHERS: dict[str, tuple] = {
     "sink_idempotent": (sink_idempotent, "SELECT count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_tokens, 1 AS first_batches, 0 AS again_batches, 1 AS again_known FROM sent"),
     "sink_compact": (sink_compact, "SELECT count(*) AS n_sentences, count(*) AS n_places, 1 AS splits FROM sent"),
     "str_microbatch": (str_microbatch, "SELECT doc_id, count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_tokens FROM sent GROUP BY doc_id"),
-    "sq_capture": (sq_capture, "SELECT a.sentence_id, k AS name, CASE k WHEN 'd' THEN a.i ELSE b.i END AS s, CASE k WHEN 'd' THEN a.i ELSE b.i END + 1 AS e, CASE k WHEN 'd' THEN a.w ELSE b.w END AS text FROM tok a JOIN tok b ON a.sentence_id = b.sentence_id AND b.i = a.i + 1, (VALUES ('d'), ('n')) v(k) WHERE a.tag = 'DT' AND b.tag = 'NN'"),
-    "sq_capture_repeated": (sq_capture_repeated, f"SELECT t.sentence_id, t.i AS s, t.w AS text FROM run r JOIN tok v ON v.sentence_id = r.sentence_id AND v.i = r.e AND v.tag = 'VBD' JOIN tok t ON t.sentence_id = r.sentence_id AND t.i >= r.s AND t.i < r.e", _RUN),
+    "sq_capture": (sq_capture, "SELECT sentence_id, k AS name, CASE k WHEN 'd' THEN i ELSE i + 1 END AS s, CASE k WHEN 'd' THEN i ELSE i + 1 END + 1 AS e, CASE k WHEN 'd' THEN w ELSE next END AS text"
+                   " FROM (SELECT *, lead(tag) OVER (PARTITION BY sentence_id ORDER BY i) AS x, lead(w) OVER (PARTITION BY sentence_id ORDER BY i) AS next FROM tok), (VALUES ('d'), ('n')) v(k) WHERE tag = 'DT' AND x = 'NN'"),
+    "sq_capture_repeated": (sq_capture_repeated, "SELECT sentence_id, i AS s, w AS text FROM (SELECT *, bool_or(x = 'VBD') OVER (PARTITION BY sentence_id, g) AS before_verb FROM (SELECT *, i - row_number() OVER (PARTITION BY sentence_id ORDER BY i) AS g"
+                            " FROM (SELECT *, lead(tag) OVER (PARTITION BY sentence_id ORDER BY i) AS x FROM tok) WHERE tag LIKE 'NN%')) WHERE before_verb"),
     "gr_capture": (gr_capture, "SELECT DISTINCT a.sentence_id, k AS name, CASE k WHEN 'v' THEN a.i ELSE b.i END AS s, CASE k WHEN 'v' THEN a.w ELSE b.w END AS text FROM edge x JOIN tok a ON a.sentence_id = x.sentence_id AND a.i = x.src JOIN tok b ON b.sentence_id = x.sentence_id AND b.i = x.dst, (VALUES ('v'), ('a')) q(k) WHERE x.rel = 'advmod' AND a.tag = 'VBD' AND b.tag = 'RB'"),
     "ag_count": (ag_count, "SELECT '[tag=VBD]' AS query, count(DISTINCT sentence_id) AS n FROM tok WHERE tag = 'VBD' UNION ALL SELECT '[tag=DT] [tag=NN]+ [tag=VBD]', count(DISTINCT d.sentence_id) FROM tok d JOIN nn r ON r.sentence_id = d.sentence_id AND r.s = d.i + 1 JOIN tok v ON v.sentence_id = d.sentence_id AND v.i = r.e WHERE d.tag = 'DT' AND v.tag = 'VBD'"
                  " UNION ALL SELECT '[tag=VBD] >nsubj [tag=NN]', count(DISTINCT x.sentence_id) FROM edge x JOIN tok a ON a.sentence_id = x.sentence_id AND a.i = x.src JOIN tok b ON b.sentence_id = x.sentence_id AND b.i = x.dst WHERE x.rel = 'nsubj' AND a.tag = 'VBD' AND b.tag = 'NN'", _RUN.replace("run AS", "nn AS").replace("LIKE 'NN%'", "= 'NN'")),

@@ -1,8 +1,7 @@
 """Sentences from plain texts by fixed rules: a stand-in for an annotator, the same in Spark and in SQL.
 
 Lines are cut at full stops; tokens are runs of letters and digits or single signs. Tags go by word
-lists and endings, the graph ties each token to its governor by its tag. annotate() gives sentences of every length; sentences(), which
-the queries read, leaves out those of more than MAX_TOKENS, as SQL does, so that the two can be compared.
+lists and endings, the graph ties each token to its governor by its tag. Sentences of every length are kept.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-MAX_TOKENS = 40
+from ..errors import ConfigError
+
 #: Fixed values of the rules.
 DT = frozenset("the a an this la le les un une der die das el los".split())
 IN = frozenset("of to in for on with by at from de en von zu con por".split())
@@ -120,28 +120,38 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MADE, strict=True)], schema=_MADE)
 
 
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where all executors can read and write; a temporary folder only where spark.checkpoint.dir is unset, on one machine."""
+    """Where all executors can read and write: the folder in spark.checkpoint.dir, or, on one machine only, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ConfigError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tokenloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Files of a table with their sizes and times, by the file system that has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of 1 to MAX_TOKENS tokens of a folder's documents as a table that is written once a session, in page order within its files."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Sentences of a folder's documents as a table that is written once a session and state of its files, in page order within its files."""
+    source = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, source, _state(spark, source))
     if key not in _built:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        docs = spark.read.parquet(source).select("doc_id", "text")
         parts = spark.sparkContext.defaultParallelism
         path = f"{shared_folder(spark)}/sentences-{uuid.uuid4().hex}"
-        annotate(docs.repartitionByRange(parts, "doc_id")).where(F.col("sentence_length") <= MAX_TOKENS).write.parquet(path)
+        annotate(docs.repartitionByRange(parts, "doc_id")).write.parquet(path)
         _built[key] = path
     return spark.read.parquet(_built[key]).withColumn("split_id", F.col("doc_id").cast("long"))
 
@@ -151,7 +161,7 @@ SQL = r"""
 WITH RECURSIVE ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS ln FROM documents),
 sn AS (SELECT doc_id, ln, unnest(string_split(line, '.')) AS s, generate_subscripts(string_split(line, '.'), 1) - 1 AS sn FROM ln),
 sent AS (SELECT doc_id || '_' || ln || '_' || sn AS sentence_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(ln AS BIGINT) * 100000 + sn AS sent_ord, w, len(w) AS n
-         FROM (SELECT *, regexp_extract_all(s, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]') AS w FROM sn) WHERE len(w) BETWEEN 1 AND 40),
+         FROM (SELECT *, regexp_extract_all(s, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]') AS w FROM sn) WHERE len(w) > 0),
 tok0 AS (SELECT sentence_id, doc_id, sent_ord, n, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS i, unnest(w) AS w FROM sent),
 tok AS MATERIALIZED (SELECT sentence_id, doc_id, sent_ord, n, i, w, lower(w) AS lemma, CASE
     WHEN w IN (',', '!') THEN 'PUNCT' WHEN NOT regexp_matches(w, '[\p{L}\p{N}]') THEN 'SYM' WHEN regexp_matches(w, '^[0-9]+$') THEN 'CD'
