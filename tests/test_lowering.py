@@ -8,7 +8,7 @@ from tokenloom.plans import candidate as c, native
 from tokenloom.plans.compiler import compile_query
 from tokenloom.schema import SENTENCES
 
-FIELDS = {"word": ["the", "cat", "sat", "a|b", "", "The"], "tag": ["A", "B", "C"], "lemma": ["the", "cat", None, "ü"]}
+FIELDS = {"word": ["the", "elm", "oak", "a|b", "", "The"], "tag": ["A", "B", "C"], "lemma": ["the", "elm", None, "ü"]}
 
 
 def rows():
@@ -29,14 +29,14 @@ def df(spark):
 
 
 QUERIES = [
-    "the", "[tag=A]", "[tag=/[AB]/]", "[word=T~]", "[word!=the]", "[word!=T~]", "[!tag=A & word=cat]", "[tag=A | lemma=cat]", "[!(tag=A | word=sat)]", "[]", "[nosuch=x]", "[nosuch!=x]", "[word=/.*/]", "[lemma=/.?/]", "[lemma!=cat & tag=B]",
-    "[tag=A] [tag=B]", "the cat", "the [] sat", "[tag=A] [] [] [tag=B]", "[tag=A] []{0,2} [tag=B]", "[tag=A] []{1,3}? [tag=C]", "[tag=A]+", "[tag=A]*", "[tag=A]+? [tag=B]", "[tag=A]{2,3}", "[tag=A]{,2} [tag=C]", "[tag=A] [tag=B]? [tag=C]",
+    "the", "[tag=A]", "[tag=/[AB]/]", "[word=T~]", "[word!=the]", "[word!=T~]", "[!tag=A & word=elm]", "[tag=A | lemma=elm]", "[!(tag=A | word=oak)]", "[]", "[nosuch=x]", "[nosuch!=x]", "[word=/.*/]", "[lemma=/.?/]", "[lemma!=elm & tag=B]",
+    "[tag=A] [tag=B]", "the elm", "the [] oak", "[tag=A] [] [] [tag=B]", "[tag=A] []{0,2} [tag=B]", "[tag=A] []{1,3}? [tag=C]", "[tag=A]+", "[tag=A]*", "[tag=A]+? [tag=B]", "[tag=A]{2,3}", "[tag=A]{,2} [tag=C]", "[tag=A] [tag=B]? [tag=C]",
     "([tag=A] [tag=B])+", "[tag=A] (?=[tag=B])", "[tag=A] (?![tag=B])", "(?<=[tag=A]) [tag=B]", "(?<![tag=A]) [tag=B]", "(?<=[tag=A] [tag=B]) [tag=B]", "[tag=A]+ (?=[tag=B] [tag=C])", "(?<![tag=A]) [tag=B]+", "(?=[tag=A])", "(?![tag=A])",
-    "(?<x> [tag=A]) (?<y:phrase> [tag=B] [])", "(?<x> [tag=A])+ [tag=B]", "[tag=A]* [tag=B]* [tag=C]* [word=cat]", "([tag=A]+ [tag=B])*", "[word=/a\\|b/]", "[word=/t.*/ & tag=A] [lemma=/ü/]",
+    "(?<x> [tag=A]) (?<y:phrase> [tag=B] [])", "(?<x> [tag=A])+ [tag=B]", "[tag=A]* [tag=B]* [tag=C]* [word=elm]", "([tag=A]+ [tag=B])*", "[word=/a\\|b/]", "[word=/t.*/ & tag=A] [lemma=/ü/]",
     "[tag=A] >x [tag=B]", "[tag=A] <x [tag=B]", "[] >> []", "[] << [tag=C]", "[] >/z+/ []", "[tag=A] >x|zz [tag=B]", "[tag=A] >x? [tag=B]", "[tag=A] >x* [tag=B]", "[tag=A] >y+ [tag=B]", "[] >x >y []", "[tag=A] >x [tag=B] <y [tag=C]",
-    "[tag=A] >x >y? [tag=B]", "[tag=A] [tag=B]+ >x [tag=C]", "[tag=A] >x [tag=B] [tag=C]", "[tag=A] >x", "(?<m> (?<a> [tag=A]) >x (?<b> [tag=B]))", "([tag=A] >x [tag=B]) >y [tag=C]", "[word!=the] >x? []", "[] >>+ <x [tag=A]", "[tag=A | word=cat] >x [!tag=B]",
+    "[tag=A] >x >y? [tag=B]", "[tag=A] [tag=B]+ >x [tag=C]", "[tag=A] >x [tag=B] [tag=C]", "[tag=A] >x", "(?<m> (?<a> [tag=A]) >x (?<b> [tag=B]))", "([tag=A] >x [tag=B]) >y [tag=C]", "[word!=the] >x? []", "[] >>+ <x [tag=A]", "[tag=A | word=elm] >x [!tag=B]",
 ]
-LEVELS = {"the": "decided", "[tag=A] [tag=B]": "fixed", "[tag=A]+": "classes", "([tag=A]+ [tag=B])*": "matcher", "[tag=A] >x [tag=B]": "walk", "[tag=A] >x* [tag=B]": "matcher", "[tag=A]* [tag=B]* [tag=C]* [word=cat]": "matcher"}
+LEVELS = {"the": "decided", "[tag=A] [tag=B]": "fixed", "[tag=A]+": "classes", "([tag=A]+ [tag=B])*": "matcher", "[tag=A] >x [tag=B]": "walk", "[tag=A] >x* [tag=B]": "matcher", "[tag=A]* [tag=B]* [tag=C]* [word=elm]": "matcher"}
 
 
 @pytest.mark.parametrize("query", QUERIES)
@@ -69,7 +69,7 @@ def test_candidates_from_postings(df, query):
 
 
 def test_python_only_after_the_candidate_filter(df):
-    plan = match.matches(df, "[word=cat] >x* [tag=B]")._jdf.queryExecution().optimizedPlan().toString()
+    plan = match.matches(df, "[word=elm] >x* [tag=B]")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("array_contains") or "array_contains" in plan[plan.index("ArrowEvalPython") :]
     native_plan = match.hits(df, "[tag=A]+ [tag=B]")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in native_plan and "Exchange" not in native_plan
@@ -77,7 +77,7 @@ def test_python_only_after_the_candidate_filter(df):
 
 def test_candidate_shapes():
     show = lambda q: c.show(compile_query(q).candidate)
-    assert show("the cat") == '(word:the AND word:cat AND word:"the cat")'
+    assert show("the elm") == '(word:the AND word:elm AND word:"the elm")'
     assert show("[tag=A | word!=x]") == "*" and show("[tag=A]* b?") == "*" and show("[tag=A]+ [x=/y./]") == "(tag:A AND x:/y./)"
     assert show("[tag=A] >x|y [tag=B]") == "(SAME(tag:A, outgoing_edges:(x OR y)) AND SAME(tag:B, incoming_edges:(x OR y)))"
     assert show("[tag=A] >x* [tag=B]") == "(SAME(tag:A) AND SAME(tag:B))" and show("[] >> []") == "*"
@@ -123,6 +123,6 @@ def test_captures_and_text(df):
 
 
 def test_whole_values_only(spark):
-    one = spark.createDataFrame([("cat\n",), ("cat",), ("CAT",), ("ünï",)], "v string")
+    one = spark.createDataFrame([("elm\n",), ("elm",), ("ELM",), ("ünï",)], "v string")
     hold = lambda source: [r[0] for r in one.where(native.whole(F.col("v"), source)).collect()]
-    assert hold("cat") == ["cat"] and hold("\\w+") == ["cat", "CAT", "ünï"] and hold("c|cat") == ["cat"] and hold("cat.") == []
+    assert hold("elm") == ["elm"] and hold("\\w+") == ["elm", "ELM", "ünï"] and hold("e|elm") == ["elm"] and hold("elm.") == []

@@ -6,7 +6,7 @@ from tokenloom.sources import annotated
 
 from .test_store import document, graph_field, token_field
 
-WORDS = ["the cat sat", "cat the end", "the dog", "cat", "a cat and the cat"]
+WORDS = ["blue birds sing", "birds near water", "water falls", "birds", "small birds fear blue birds"]
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def df(spark):
 def test_pages_have_every_hit_once(df, limit):
     s, cursor, seen = Searcher(lambda: df), None, []
     while True:
-        r = s.search(SearchQuery("[word=cat]", limit, cursor, count=not seen))
+        r = s.search(SearchQuery("[word=birds]", limit, cursor, count=not seen))
         seen += [h.sentence_id for h in r.hits]
         assert len(r.hits) <= limit and r.exhausted == (len(r.hits) < limit) == (r.next_cursor is None)
         if len(seen) == len(r.hits):
@@ -29,27 +29,27 @@ def test_pages_have_every_hit_once(df, limit):
         if r.exhausted:
             break
         cursor = r.next_cursor
-    assert seen == [f"d{i}_0" for i, w in enumerate(WORDS * 5) if "cat" in w.split()]
+    assert seen == [f"d{i}_0" for i, w in enumerate(WORDS * 5) if "birds" in w.split()]
 
 
 def test_hits_are_rendered(df):
-    r = Searcher(lambda: df).search(SearchQuery("(?<a> [word=the]) [word=cat]", 1))
+    r = Searcher(lambda: df).search(SearchQuery("(?<a> [word=blue]) [word=birds]", 1))
     m = r.hits[0].matches[0].spans[0]
-    assert (r.kind, m.start, m.end, m.text, m.captures[0]["text"]) == ("surface", 0, 2, "the cat", "the")
-    g = Searcher(lambda: df).search("(?<v> [word=cat]) >x (?<w> [word=end])").hits[0]
-    assert [s.text for s in g.matches[0].spans] == ["cat", "end"] and [c["name"] for c in g.matches[0].named] == ["v", "w"] and g.words == ("cat", "the", "end")
-    assert Searcher(lambda: df).search("the cat").to_dict()["timing"]["backend_us"] > 0
-    assert Searcher(lambda: df.limit(0)).search("cat").exhausted
+    assert (r.kind, m.start, m.end, m.text, m.captures[0]["text"]) == ("surface", 0, 2, "blue birds", "blue")
+    g = Searcher(lambda: df).search("(?<v> [word=birds]) >x (?<w> [word=water])").hits[0]
+    assert [s.text for s in g.matches[0].spans] == ["birds", "water"] and [c["name"] for c in g.matches[0].named] == ["v", "w"] and g.words == ("birds", "near", "water")
+    assert Searcher(lambda: df).search("blue birds").to_dict()["timing"]["backend_us"] > 0
+    assert Searcher(lambda: df.limit(0)).search("birds").exhausted
 
 
-@pytest.mark.parametrize("request_", [SearchQuery("cat", 0), SearchQuery(""), SearchQuery("[a"), SearchQuery("x " * 9000), SearchQuery("cat", cursor="zz"), SearchQuery("cat", cursor="abc"), SearchQuery("cat", cursor=b"{}".hex()), SearchQuery("cat", cursor=encode_cursor("dog", (1, 2))), SearchQuery("a (b >x c)")])
+@pytest.mark.parametrize("request_", [SearchQuery("birds", 0), SearchQuery(""), SearchQuery("[a"), SearchQuery("x " * 9000), SearchQuery("birds", cursor="zz"), SearchQuery("birds", cursor="abc"), SearchQuery("birds", cursor=b"{}".hex()), SearchQuery("birds", cursor=encode_cursor("water", (1, 2))), SearchQuery("a (b >x c)")])
 def test_bad_requests(df, request_):
     with pytest.raises(InvalidQuery):
         Searcher(lambda: df).search(request_)
 
 
 def test_limits_and_time(df):
-    assert len(Searcher(lambda: df, max_limit=2).search(SearchQuery("cat", 50)).hits) == 2
+    assert len(Searcher(lambda: df, max_limit=2).search(SearchQuery("birds", 50)).hits) == 2
     from pyspark.sql import functions as F
 
     @F.udf("boolean")
@@ -60,8 +60,8 @@ def test_limits_and_time(df):
         return True
 
     with pytest.raises(SearchTimeout):
-        Searcher(lambda: df.where(slow("sent_ord")), timeout_s=1.5).search("cat")
-    assert Searcher(lambda: df).search("cat").hits
+        Searcher(lambda: df.where(slow("sent_ord")), timeout_s=1.5).search("birds")
+    assert Searcher(lambda: df).search("birds").hits
 
 
 def test_cursor():

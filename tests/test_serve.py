@@ -10,13 +10,13 @@ from tokenloom.serve import server
 from tokenloom.sources import annotated
 from tokenloom.sources.store import Store
 
-from .test_store import pizza
+from .test_store import painter
 
 
 @pytest.fixture(scope="module")
 def url(spark, tmp_path_factory):
     store = Store(spark, str(tmp_path_factory.mktemp("serve") / "t"))
-    store.add_sentences(annotated.sentences_of_json(spark, *[pizza(i) for i in range(5)]))
+    store.add_sentences(annotated.sentences_of_json(spark, *[painter(i) for i in range(5)]))
     s = server(store)
     threading.Thread(target=s.serve_forever, daemon=True).start()
     yield f"http://127.0.0.1:{s.server_address[1]}"
@@ -33,9 +33,9 @@ def call(url, body=None):
 
 
 def test_search_by_page(url):
-    status, one = call(f"{url}/v1/search?query={quote('[tag=VBZ] >nsubj [word=John]')}&limit=3&count=true")
-    assert status == 200 and len(one["hits"]) == 3 and one["total_hits"] == 5 and one["hits"][0]["matches"][0]["spans"][1]["text"] == "John"
-    status, two = call(f"{url}/v1/search", json.dumps({"query": "[tag=VBZ] >nsubj [word=John]", "limit": 3, "cursor": one["next_cursor"]}))
+    status, one = call(f"{url}/v1/search?query={quote('[tag=VERB] >agent [word=Maria]')}&limit=3&count=true")
+    assert status == 200 and len(one["hits"]) == 3 and one["total_hits"] == 5 and one["hits"][0]["matches"][0]["spans"][1]["text"] == "Maria"
+    status, two = call(f"{url}/v1/search", json.dumps({"query": "[tag=VERB] >agent [word=Maria]", "limit": 3, "cursor": one["next_cursor"]}))
     assert status == 200 and [h["doc_id"] for h in one["hits"] + two["hits"]] == [f"d{i}" for i in range(5)] and two["exhausted"]
 
 

@@ -25,8 +25,8 @@ def document(i, *sentences):
     return json.dumps({"id": f"d{i}", "metadata": [{"k": [1, "x"]}, None], "sentences": [{"numTokens": n, "fields": list(fields)} for n, *fields in sentences]})
 
 
-def pizza(i=1):
-    return document(i, (4, token_field("word", "John eats pizza .".split()), token_field("tag", "NNP VBZ NN .".split()), token_field("other", ["x"]), graph_field([[1, 0, "nsubj"], [1, 2, "dobj"]], [1])), (1, token_field("word", ["a|b"])))
+def painter(i=1):
+    return document(i, (5, token_field("word", "Maria paints two houses !".split()), token_field("tag", "PROPN VERB NUM NOUN PUNCT".split()), token_field("other", ["x"]), graph_field([[1, 0, "agent"], [3, 2, "number"], [1, 3, "object"], [1, 3, "goal"]], [1])), (1, token_field("word", ["a|b"])))
 
 
 BAD = {
@@ -38,28 +38,28 @@ BAD = {
 
 
 def test_flatten(spark):
-    rows = annotated.sentences_of_json(spark, pizza(), document(2, (3, token_field("word", ["x", "", "z"]), graph_field([[0, 2, "a,b"]], [0], "dependencies_basic")))).orderBy("sent_ord").collect()
+    rows = annotated.sentences_of_json(spark, painter(), document(2, (3, token_field("word", ["x", "", "z"]), graph_field([[0, 2, "a,b"]], [0], "dependencies_basic")))).orderBy("sent_ord").collect()
     a, b, c = rows
-    assert (a.doc_id, a.sentence_id, a.sentence_length, a.word, a.tag, a.lemma) == ("d1", "d1_0", 4, ["John", "eats", "pizza", "."], ["NNP", "VBZ", "NN", "."], None)
-    assert a.outgoing_edges == [[], ["dobj", "nsubj"], [], []] and a.incoming_edges == [["nsubj"], ["root"], ["dobj"], []] and a.graph.name == "dependencies" and a.graph_basic is None
+    assert (a.doc_id, a.sentence_id, a.sentence_length, a.word, a.tag, a.lemma) == ("d1", "d1_0", 5, ["Maria", "paints", "two", "houses", "!"], ["PROPN", "VERB", "NUM", "NOUN", "PUNCT"], None)
+    assert a.outgoing_edges == [[], ["agent", "goal", "object"], [], ["number"], []] and a.incoming_edges == [["agent"], ["root"], ["number"], ["goal", "object"], []] and a.graph.name == "dependencies" and a.graph_basic is None
     assert (b.sentence_id, b.word, b.graph, b.outgoing_edges) == ("d1_1", ["a|b"], None, [])
     assert c.graph is None and c.graph_basic.edges[0].rel == "a,b" and c.incoming_edges == [["root"], [], ["a,b"]] and a.sent_ord < b.sent_ord < c.sent_ord
-    assert [f.name for f in annotated.sentences_of_json(spark, pizza()).schema] == [f.name for f in SENTENCES]
+    assert [f.name for f in annotated.sentences_of_json(spark, painter()).schema] == [f.name for f in SENTENCES]
 
 
 @pytest.mark.parametrize("kind", BAD)
 def test_unsound_documents(spark, kind):
     with pytest.raises(InvalidDocument):
-        annotated.sentences_of_json(spark, pizza(), BAD[kind])
+        annotated.sentences_of_json(spark, painter(), BAD[kind])
 
 
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "in/sub").mkdir(parents=True)
     for i in range(7):
-        (tmp_path / f"in/{i}.json").write_text(pizza(i))
+        (tmp_path / f"in/{i}.json").write_text(painter(i))
     with gzip.open(tmp_path / "in/sub/8.JSON.gz", "wt") as f:
-        f.write(pizza(8))
+        f.write(painter(8))
     (tmp_path / "in/note.txt").write_text("no")
     (tmp_path / "in/9.json").write_text(BAD["short field"])
     return tmp_path
@@ -83,7 +83,7 @@ def test_batches_are_taken_once(spark, folder):
     assert (again.batches, again.known_batches) == (0, 3) and store.sentences().count() == 16
     assert store.summary().splits == 3 and store.summary().sentences == 16 and store.summary().bytes > 0
     assert spark.read.parquet(f"{store.path}/rejects").count() == 1
-    assert match.count(store.sentences(), "[tag=VBZ] >nsubj [word=John]") == 8
+    assert match.count(store.sentences(), "[tag=VERB] >agent [word=Maria]") == 8
     (folder / "table/data/half").mkdir()  # a run that died
     assert store.sentences().count() == 16
     order = [r[0] for r in store.sentences().orderBy("split_id", "sent_ord").select("sentence_id").collect()]
@@ -110,12 +110,12 @@ def test_other_columns_are_an_error(spark, tmp_path):
 
 def test_one_path_twice_is_an_error(spark, tmp_path):
     with pytest.raises(EngineError):
-        Store(spark, str(tmp_path / "t")).add_documents(spark.createDataFrame([("a", pizza(1)), ("a", pizza(2))], "path string, value string"))
+        Store(spark, str(tmp_path / "t")).add_documents(spark.createDataFrame([("a", painter(1)), ("a", painter(2))], "path string, value string"))
 
 
 def test_rows_can_be_added_as_they_are(spark, tmp_path):
     store = Store(spark, str(tmp_path / "t"))
-    rows = annotated.sentences_of_json(spark, pizza()).withColumn("stray", F.lit(1)).drop("lemma")
+    rows = annotated.sentences_of_json(spark, painter()).withColumn("stray", F.lit(1)).drop("lemma")
     assert store.add_sentences(rows.limit(0)).batches == 0
     assert store.add_sentences(rows, "x").sentences == 2 and store.add_sentences(rows, "x").known_batches == 1
     assert store.sentences().columns == [f.name for f in SENTENCES] and store.sentences().count() == 2
@@ -134,7 +134,7 @@ def test_stream_is_the_batch(spark, folder):
     ingest.start(stream, str(folder / "in"), str(folder / "cp"), files_per_trigger=2, seen=seen.append).awaitTermination()
     ids = lambda s: sorted(r[0] for r in s.sentences().select("sentence_id").collect())
     assert ids(stream) == ids(batch) and len(seen) == 5
-    (folder / "in/more.json").write_text(pizza(50))
+    (folder / "in/more.json").write_text(painter(50))
     ingest.start(stream, str(folder / "in"), str(folder / "cp"), files_per_trigger=2).awaitTermination()
     assert len(ids(stream)) == len(ids(batch)) + 2
     query = ingest.start(stream, str(folder / "in"), str(folder / "cp"), once=False)
