@@ -2,9 +2,10 @@
 
 Test items are short and documents long, so the Jaccard similarity of the two says little, and a document's own signature would
 have to hold most of its shingles. The search therefore sketches the short side: items are put into size classes (powers of
-two of their number of shingles), and an item keeps the k smallest values of one hash over its shingles, with k set by the
-class so that an item of which the wanted share is in a document cannot miss with all k values (a share of t leaves out at
-most (1 - t) * m shingles, and k exceeds that). Documents are probed with the hashes of all their shingles, and every pair found is
+two of their number of shingles), and an item keeps k values of one hash over its shingles, those that the fewest items have and of these the smallest, with k set by the
+class so that an item of which the wanted share is in a document cannot miss with more than k - MATCHES of them (a share of t leaves out at
+most (1 - t) * m shingles, whichever they are). Lines that many items share are so sketched last, and a pair needs MATCHES common values,
+so a template of items and documents doesn't pair them all. Documents are probed with the hashes of all their shingles, and every pair found is
 verified by the exact share of the item's distinct shingles, as words, that the document has.
 """
 
@@ -16,6 +17,8 @@ from .common import broadcast_if_small, let, materialise, quoted, text_of, words
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+#: Common sketch values that a pair needs (all, if the item has fewer shingles that a document may lack).
+MATCHES = 3
 #: Most rows of a sketch, of items or of candidate pairs that are broadcast; above that the joins shuffle.
 BROADCAST_SKETCH, BROADCAST_ITEMS, BROADCAST_PAIRS = 1_000_000, 20_000, 500_000
 
@@ -35,11 +38,15 @@ def shingles(words: Column, n: int = SHINGLE) -> Column:
 
 
 def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """__item, __hash: of each item of items (__item, __hashes) the k smallest hashes, with k by its size class."""
-    size = F.size("__hashes")
-    limit = F.pow(F.lit(2), F.ceil(F.log2(size)))  # the class's upper bound
-    k = F.least(size, (F.floor(limit * (1 - containment) + 1e-9) + 1).cast("int"))
-    return items.where(size > 0).select("__item", F.explode(F.slice(F.array_sort("__hashes"), 1, k)).alias("__hash"))
+    """__item, __hash, __need: of each item of items (__item, __hashes) the k hashes of its sketch, and how many of them a document with the item has at least."""
+    every = items.select("__item", F.size("__hashes").alias("__size"), F.explode("__hashes").alias("__hash"))
+    often = every.groupBy("__hash").agg(F.count(F.lit(1)).alias("__often"))
+    limit = F.pow(F.lit(2), F.ceil(F.log2("__size")))  # the class's upper bound
+    lacking = F.floor(limit * (1 - containment) + 1e-9).cast("int")
+    k = F.least(F.col("__size"), lacking + MATCHES)
+    missed = F.least(lacking, F.floor(F.col("__size") * (1 - containment) + 1e-9).cast("int"))
+    own = every.join(often, "__hash").groupBy("__item", "__size").agg(F.array_sort(F.collect_list(F.struct("__often", "__hash"))).alias("__all"))
+    return own.select("__item", (k - missed).alias("__need"), F.explode(F.slice("__all", 1, k)).alias("__one")).select("__item", "__one.__hash", "__need")
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id", containment: float = CONTAINMENT) -> DataFrame:
@@ -54,11 +61,12 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, text_col: str = "text"
     own = own.select("__item", shingles(F.col("__words")).alias("__shingles"), shingle_hashes(F.col("__words")).alias("__hashes"))
     own = own.where(F.size("__shingles") > 0).select(F.monotonically_increasing_id().alias("__no"), "*")
     own = materialise(own)
-    sketch = item_sketches(own.select(F.col("__no").alias("__item"), "__hashes"), containment)
+    sketch = materialise(item_sketches(own.select(F.col("__no").alias("__item"), "__hashes"), containment))
     sketch = broadcast_if_small(sketch, sketch.count(), BROADCAST_SKETCH)
     texts = docs.select(ident.alias("__doc"), text_of(text_col).alias("__text"))
     probes = texts.select("__doc", F.explode(shingle_hashes(words_of(F.col("__text")))).alias("__hash"))
-    pairs = materialise(probes.join(sketch, "__hash").select("__doc", "__item").distinct())
+    met = probes.join(sketch, "__hash").groupBy("__doc", "__item", "__need").agg(F.count(F.lit(1)).alias("__met"))
+    pairs = materialise(met.where(F.col("__met") >= F.col("__need")).select("__doc", "__item"))
     pairs_of = broadcast_if_small(pairs, pairs.count(), BROADCAST_PAIRS)
     found = texts.join(pairs_of.withColumnRenamed("__doc", "__of"), F.col("__doc").eqNullSafe(F.col("__of")))
     own = broadcast_if_small(own, own.count(), BROADCAST_ITEMS)
