@@ -4,7 +4,7 @@ Every source's documents are shuffled by a keyed digest; a document's virtual fi
 source may need) is (e * source size + words up to and including it) / target of its source. The queue of all sources is the
 global order of these times, cut where the total budget is used up.
 
-Running sums are two-level: a source's shuffle order is cut into buckets by the digest's first digits, so that no window holds
+Running sums are by levels: a source's shuffle order is cut into buckets by the digest's first digits, so that no window holds
 more than a few thousand rows however large the source is, and the buckets' sums give the offsets. The cut is found from a
 histogram of finish times and then exactly inside the one slice where the budget ends.
 """
@@ -65,8 +65,14 @@ def queued(df: DataFrame, text_col: str, id_col: str, source_col: str, seed: str
     sized = sized.withColumns({"__no_source": F.col("__source").isNull(), "__name": F.coalesce("__source", F.lit(""))})
     at = ["__no_source", "__name", "__bucket"]
     sums = sized.groupBy(*at, "__source").agg(F.sum("size").alias("__sum"))
-    before = Window.partitionBy("__no_source", "__name").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    # buckets' offsets go by the first half of their digits and then within it, so no window holds more than about the root of their number
+    half, before = digits // 2, lambda *by, order: Window.partitionBy("__no_source", "__name", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    offset = lambda c, window: F.coalesce(F.sum(c).over(window), F.lit(0))
+    sums = sums.withColumn("__half", F.substring("__bucket", 1, half) if half else F.lit(""))
+    halves = sums.groupBy("__no_source", "__name", "__half").agg(F.sum("__sum").alias("__half_sum"))
+    halves = halves.withColumn("__half_offset", offset("__half_sum", before(order="__half"))).drop("__half_sum")
+    offsets = sums.withColumn("__offset", offset("__sum", before("__half", order="__bucket"))).join(halves, ["__no_source", "__name", "__half"])
+    offsets = offsets.withColumn("__offset", F.col("__offset") + F.col("__half_offset")).drop("__half", "__half_offset")
     per = source_targets(sums.select("__source", F.col("__sum").alias("size")))
     per = per.select(F.col("__source").isNull().alias("__no_source"), F.coalesce("__source", F.lit("")).alias("__name"), "source_size", "__rank", "target")
     offsets = offsets.join(per, ["__no_source", "__name"]).drop("__source", "__sum")
@@ -109,10 +115,10 @@ def cut(q: DataFrame, id_col: str) -> tuple | None:
     return tuple(found) if found is not None else None
 
 
-def within(last: tuple, id_col: str, e: int) -> Column:
-    """Whether a row's pass e is at or before the cut."""
+def within(last: tuple, id_col: str, kind: str, e: int) -> Column:
+    """Whether a row's pass e is at or before the cut. kind: the identifier's type."""
     at = [finish(e), F.col("__rank"), F.col("__key"), F.col(quoted(id_col)), F.lit(e)]
-    return F.coalesce(F.struct(*at) <= F.struct(*[F.lit(x).cast(t) for x, t in zip(last, ("double", "int", "string", "long", "int"), strict=True)]), F.lit(False))
+    return F.coalesce(F.struct(*at) <= F.struct(*[F.lit(x).cast(t) for x, t in zip(last, ("double", "int", "string", kind, "int"), strict=True)]), F.lit(False))
 
 
 def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: str = "mix:", size: Column | None = None) -> DataFrame:
@@ -127,7 +133,7 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     last = cut(q, id_col)
     taken = F.lit(0).cast("long")
     for e in range(REPEATS if last else 0):
-        taken = taken + F.when(within(last, id_col, e), F.col("size")).otherwise(0)
+        taken = taken + F.when(within(last, id_col, dict(q.dtypes)[id_col], e), F.col("size")).otherwise(0)
     return q.withColumn("taken", taken).withColumn("target", F.coalesce("target", F.lit(0.0))).select(*others(df, *MADE), *MADE)
 
 
@@ -138,7 +144,7 @@ def mixed_stream(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         return q.limit(0).select(*others(df, *MADE, "pass", "finish"), F.lit(0).alias("pass"), F.lit(0.0).alias("finish"))
     keep = F.lit(False)
     for e in range(REPEATS):
-        keep = keep | ((F.col("__pass") == e) & within(last, id_col, e))
+        keep = keep | ((F.col("__pass") == e) & within(last, id_col, dict(q.dtypes)[id_col], e))
     return passes(q, id_col).where(keep).orderBy("__finish", "__rank", "__key", quoted(id_col), "__pass").select(*others(df, *MADE, "pass", "finish"), F.col("__pass").alias("pass"), F.col("__finish").alias("finish"))
 
 
