@@ -24,12 +24,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see. Only where it is unset (tests on one machine), a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors see. Only on one machine, where it is unset, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tokenloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -49,9 +51,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_tables(spark: SparkSession) -> int:
-    """Remove the intermediate tables of this session, whose results must have been written by now; how many they were."""
-    own = [x for x in _written if x[0] == spark.sparkContext.applicationId]
+def tables_made() -> int:
+    """How many intermediate tables there are by now: those made later can be removed by themselves."""
+    return len(_written)
+
+
+def remove_tables(spark: SparkSession, since: int = 0, but_last: int = 0) -> int:
+    """Remove the intermediate tables of this session (those made since, but for the last ones), whose results must have been written by now; how many they were."""
+    own = [x for x in _written[since : len(_written) - but_last] if x[0] == spark.sparkContext.applicationId]
     for x in own:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x[1])
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -113,5 +120,10 @@ def place_of_kth(df: DataFrame, key: str, tie: str, k: int, most: int = 5000) ->
                 break
             left -= n
         inside = inside.where(F.col(key).between(low, high))
-    rows = inside.orderBy(F.col(key).desc(), F.col(quoted(tie)).asc_nulls_last()).limit(left).select(key, quoted(tie)).collect()
-    return tuple(rows[-1])
+    # rows equal in key and tie are one group, so however many rows have one key, the driver reads no more groups than it needs, one after another
+    groups = inside.groupBy(key, quoted(tie)).agg(F.count(F.lit(1)).alias("__rows")).orderBy(F.col(key).desc(), F.col(quoted(tie)).asc_nulls_last())
+    for *place, rows in groups.toLocalIterator():
+        left -= rows
+        if left <= 0:
+            return tuple(place)
+    return None

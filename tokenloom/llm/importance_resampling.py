@@ -120,7 +120,7 @@ def op10_importance_resampling(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     n, good = labels.where("quality IS NOT NULL").agg(F.count(F.lit(1)), F.count(F.when(F.col("quality") == 1, 1))).first()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("target")), F.lit(1 << 30)) < int(min(1.0, TARGET_DOCS / max(1, good)) * (1 << 30)) + 1
-    target = labels.where((F.col("quality") == 1) & drawn).select("doc_id").distinct().limit(TARGET_DOCS).withColumn("__good", F.lit(True))
+    target = labels.where((F.col("quality") == 1) & drawn).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("target")), "doc_id").limit(TARGET_DOCS).withColumn("__good", F.lit(True))
     ratios = learn_ratios(docs.join(F.broadcast(target), "doc_id", "left"), F.col("__good"))
     weighed = weigh_texts(docs, ratios).select("doc_id", "log_weight")
     return resample(weighed, good / n if n else 1.0).select("doc_id", *MADE)
