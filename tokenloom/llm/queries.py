@@ -25,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op3_decontamination": decontamination.OP3_SQL,
         "op7_jaccard_join": jaccard_join.OP7_SQL,
+        "op8_url_filter": url_filter.OP8_SQL,
         "op9_mixing": mixing.OP9_SQL,
     }

@@ -91,3 +91,31 @@ def filter_urls(df: DataFrame, url_col: str = "url", html_col: str = "html", rul
 def op8_url_filter(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return filter_urls(pages).select("page_id", *MADE)
+
+
+def _sql() -> str:
+    """The same rows in SQL: rules by nested cases, and each round of the two spreads as a table of its own."""
+    rule, verdict = "NULL", "NULL"
+    for v, r in sorted(RULES, key=lambda x: len(x[1])):
+        of, slash, start = r.partition("/")
+        fits = f"(host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{slash}{start}')"
+        rule, verdict = f"CASE WHEN {fits} THEN '{r}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{v}' ELSE {verdict} END"
+    parts = [
+        f"""WITH u AS (SELECT page_id, coalesce(html, '') AS html, translate(coalesce(regexp_extract(url, '{_URL}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '{_URL}', 2), '') AS path FROM pages),
+p AS (SELECT *, row_number() OVER () AS row, {rule} AS rule, {verdict} AS judged FROM u)""",
+        """t AS (SELECT row, host AS src, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?\\bhref\\s*=\\s*["'']?\\s*((?:https?:)?//[^"''\\s>]+)', 1)) AS link FROM p)""",
+        f"""l AS MATERIALIZED (SELECT src, dst, count(DISTINCT row) AS n FROM (SELECT row, src, translate(regexp_extract(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END, '{_URL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM t) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL)""",
+    ]
+    for v, (a, b) in (("allow", ("src", "dst")), ("block", ("dst", "src"))):
+        parts += [
+            f"{v}_s AS MATERIALIZED (SELECT host, avg(CASE WHEN coalesce(judged, '') = '{v}' THEN 1.0 ELSE 0.0 END) AS seed FROM p GROUP BY host HAVING seed > 0)",
+            f"{v}_e AS MATERIALIZED (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS share FROM l)",
+            f"{v}_h AS MATERIALIZED (SELECT host, coalesce(seed, 0) AS seed FROM (SELECT host FROM {v}_s UNION SELECT a FROM {v}_e UNION SELECT b FROM {v}_e) LEFT JOIN {v}_s USING (host))",
+            f"{v}_0 AS MATERIALIZED (SELECT host, seed AS rank, 0.0 AS reached FROM {v}_h)",
+            *[f"{v}_{k + 1} AS MATERIALIZED (SELECT h.host, {1 - DAMPING} * seed + coalesce(m.x, 0) AS rank, coalesce(m.x, 0) AS reached FROM {v}_h h LEFT JOIN (SELECT b, {DAMPING} * sum(rank * share) AS x FROM {v}_{k} JOIN {v}_e ON host = a GROUP BY b) m ON m.b = h.host)" for k in range(ROUNDS)],
+        ]
+    bad = f"SELECT host FROM block_{ROUNDS} b LEFT JOIN (SELECT host, reached AS trust FROM allow_{ROUNDS}) a USING (host) WHERE b.reached > {DISTRUST} AND b.reached > coalesce(trust, 0)"
+    return ",\n".join(parts) + f"\nSELECT page_id, host, path, rule, coalesce(judged, CASE WHEN host IN ({bad}) THEN 'block' ELSE 'allow' END) AS verdict FROM p"
+
+
+OP8_SQL = _sql()
