@@ -264,7 +264,8 @@ def _linked(df: DataFrame, text_col: str, id_col: str, threshold: float) -> tupl
     cost = subtries.join(candidates.withColumnRenamed("node", "low"), "low").groupBy("root").agg(F.sum(shipped(F.col("n"))).alias("parted"))
     sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(cost, "root")
     sizes = sizes.select("root", "n", ((F.col("n") > BLOCK) & (F.col("parted") < shipped(F.col("n")))).alias("parted"))
-    held = candidates.join(sizes, "root")
+    sizes = materialise(sizes)  # so that nodes aren't dealt by component, where one may have a third of them
+    held = candidates.join(broadcast_if_small(sizes, sizes.count(), BROADCAST_NODES), "root")
     place = F.struct(F.col("root").alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     whole = held.where("NOT parted").select("node", F.array(place).alias("places"), F.lit(None).cast("array<long>").alias("own"), (F.col("n") <= BLOCK).alias("whole"))
     place = F.struct("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -284,7 +285,8 @@ def _linked(df: DataFrame, text_col: str, id_col: str, threshold: float) -> tupl
     links = ties.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     whole = whole.union(links.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_links"))
     whole = materialise(whole.join(texts.select("node", "low", "h1", "h2"), "node"))
-    best = whole.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "h1", "h2")).alias("best"))
+    best = materialise(whole.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "h1", "h2")).alias("best")))
+    best = broadcast_if_small(best, best.count(), BROADCAST_NODES)
     return signed.select("id", "h1", "h2"), texts, whole.select("node", "root", "n_links").join(best, "root").select("node", "n_links", "best")
 
 
