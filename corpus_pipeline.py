@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenloom.llm import decontamination, exact_dedup, jaccard_join, language_id, mixing
-from tokenloom.llm.common import materialise, quoted
+from tokenloom.llm.common import materialise, quoted, remove_tables, tables_made
 
 #: What language ID takes for a letter.
 LETTER = r"\p{L}"
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
+        before = tables_made()
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialise(docs)
+            remove_tables(spark, since=before, but_last=1)  # the stage's own tables: its result has been written
     return docs
