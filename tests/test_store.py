@@ -158,3 +158,57 @@ def test_object_store_settings(spark, tmp_path):
     with pytest.raises(BackendError):
         objects.ObjectStore.from_env({})
     assert objects.ping(spark, str(tmp_path)).startswith(b"ping ") and not list(tmp_path.glob("ping*"))
+
+
+def test_lanes_take_batches_at_once_and_keep_their_order(spark, folder, tmp_path):
+    store = Store(spark, str(tmp_path / "lanes"))
+    (folder / "in/bad.json").write_text("{")
+    stats = store.add_folder(str(folder / "in"), batch_docs=2, policy="skip", lanes=3)
+    assert (stats.lanes, stats.stopped, stats.rejected) == (3, 0, 1) and stats.batches == stats.splits == -(-(stats.documents + 1) // 2)
+    rows = store.sentences().orderBy("split_id", "sent_ord").collect()
+    one = Store(spark, str(tmp_path / "one"))
+    one.add_folder(str(folder / "in"), batch_docs=2, policy="skip")
+    assert [r.doc_id for r in rows] == [r.doc_id for r in one.sentences().orderBy("split_id", "sent_ord").collect()]
+    assert store.add_folder(str(folder / "in"), batch_docs=2, policy="skip", lanes=2).known_batches == stats.batches
+    with pytest.raises(InvalidDocument):
+        Store(spark, str(tmp_path / "failing")).add_folder(str(folder / "in"), batch_docs=2, lanes=2)
+
+
+def test_a_stopped_run_is_resumed(spark, folder, tmp_path):
+    store = Store(spark, str(tmp_path / "t"))
+    first = store.add_folder(str(folder / "in"), batch_docs=2, stop=lambda: store.ledger().count() >= 1)
+    again = store.add_folder(str(folder / "in"), batch_docs=2)
+    assert first.batches == again.known_batches >= 1 and first.stopped and again.batches >= 1 and store.summary().sentences == first.sentences + again.sentences
+
+
+def test_two_writers_take_different_splits(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path / "t")), Store(spark, str(tmp_path / "t"))
+    a.ensure()
+    assert [a._next_split(), b._next_split(), a._next_split()] == [1, 2, 3] and not b._claim(2)
+
+
+def test_an_indexed_store_is_searched_split_by_split(spark, tmp_path):
+    from tokenloom.operators.search import Searcher, SearchQuery, StoreSearcher
+
+    store = Store(spark, str(tmp_path / "t"), ("word", "tag", "outgoing_edges", "incoming_edges"))
+    for k in range(4):
+        docs = [document(f"{k}x{i}", (3, token_field("word", ["a", "b", f"w{k}"]), token_field("tag", ["A", "B", "C"]), graph_field([[0, 1, "x"], [1, 2, f"r{k}"]], [0]))) for i in range(5)]
+        assert store.add_sentences(annotated.sentences_of_json(spark, *docs)).indexed_batches == 1
+    searcher, plain = StoreSearcher(store), Searcher(store.sentences)
+    for query in ("a", "[word=/w[12]/]", "[word=w3]", "a b", "[tag=B] >r2 [word=w2]", "[tag!=A]", "nosuch", "[tag=A]+"):
+        cursor = None
+        for _ in range(4):
+            one, other = (s.search(SearchQuery(query, 3, cursor, True)) for s in (searcher, plain))
+            assert (one.hits, one.total_hits, one.next_cursor) == (other.hits, other.total_hits, other.next_cursor)
+            if (cursor := one.next_cursor) is None:
+                break
+    searcher.search(SearchQuery("a", 3))
+    assert len(searcher.read) == 1  # the page was full after the first split
+    searcher.search(SearchQuery("[word=w3]", 3))
+    assert searcher.read == [4]  # the others lack the word
+    assert store.build_index() == 0 and store.compact(target=1 << 40) == 4 and store.postings() is not None
+    plain_store = Store(spark, str(tmp_path / "t2"))
+    plain_store.add_sentences(store.sentences())
+    assert plain_store.postings() is None and StoreSearcher(plain_store).search("a").total_hits == 20
+    plain_store.index = store.index
+    assert plain_store.build_index() == 1 and plain_store.postings().count() == store.postings().count()

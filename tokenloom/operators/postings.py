@@ -16,6 +16,7 @@ from ..match.surface import leaf_holds
 from ..plans import candidate as c, native
 
 ADDRESS = ("split_id", "sent_ord")
+DDL = "field string, term string, split_id long, sent_ord long, positions array<int>"
 #: Most terms of a dictionary lookup that are broadcast to the postings.
 BROADCAST_TERMS = 200_000
 
@@ -151,6 +152,29 @@ def required_terms(want: c.Candidate) -> list[tuple[str, str]]:
     return []
 
 
+def fields_of(want: c.Candidate) -> set[str] | None:
+    """Fields that a condition asks for; None if it lets every sentence pass, which no postings tell."""
+    if isinstance(want, c.All):
+        return None
+    if isinstance(want, c.Has):
+        return {want.leaf.name}
+    if isinstance(want, c.HasPhrase):
+        return {want.field}
+    if isinstance(want, c.HasLabel):
+        return {want.side}
+    if isinstance(want, c.SameToken):
+        parts = [*(fields_of(c.of_test(t)) for t in want.tests), *map(fields_of, want.labels)]
+    else:
+        parts = list(map(fields_of, want.parts))
+    return None if any(p is None for p in parts) else set().union(*parts)
+
+
+def answers(want: c.Candidate, fields: tuple[str, ...]) -> bool:
+    """Whether postings of these fields tell which sentences a condition lets pass."""
+    asked = fields_of(want)
+    return asked is not None and asked <= set(fields)
+
+
 def splits_with(postings: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     """split_id of the splits that have all of the terms."""
     out = postings.select("split_id").distinct()

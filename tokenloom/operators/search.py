@@ -8,12 +8,17 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import BackendError, CompileError, EngineError, InvalidQuery, QuerySyntaxError, SearchTimeout, UnsupportedPattern
 from ..plans.compiler import Compiled, compile_query
-from . import match
+from ..schema import SENTENCES
+from . import match, postings
+
+if TYPE_CHECKING:
+    from ..sources.store import Store
 
 DEFAULT_LIMIT, MAX_LIMIT = 20, 1000
 TIMEOUT_S = 30.0
@@ -167,6 +172,39 @@ class Searcher:
             sc.setLocalProperty("spark.job.description", None)
 
 
+class StoreSearcher(Searcher):
+    """Searches a store split by split, in page order, until the page is full.
+
+    Splits that lack a term that every match has are left out by the postings, where the table has them; and what the postings decide
+    alone is counted in them, without reading a sentence. The number of splits read at once doubles, so a rare match takes few jobs.
+    """
+
+    def __init__(self, store: Store, timeout_s: float = TIMEOUT_S, max_limit: int = MAX_LIMIT):
+        super().__init__(store.sentences, timeout_s, max_limit)
+        self.store, self.read = store, []  # read: the splits that the last search looked at
+
+    def _fetch(self, df: DataFrame, q: Compiled, request: SearchQuery, limit: int, after: tuple | None):
+        folders = {r.split_id: f"{self.store.path}/data/{r.folder}" for r in self.store._live() if r.sentences}
+        index = self.store.postings()
+        indexed = index is not None and postings.answers(q.candidate, self.store.index)
+        left = sorted(x for x in folders if after is None or x >= after[0])
+        if index is not None and (terms := [t for t in postings.required_terms(q.candidate) if t[0] in self.store.index]):
+            having = {r[0] for r in postings.splits_with(index, terms).collect()}
+            left = [x for x in left if x in having]
+        rows, step, self.read = [], 1, []
+        while left and len(rows) < limit:
+            now, left, step = left[:step], left[step:], 2 * step
+            self.read += now
+            few = page(self.store.spark.read.schema(SENTENCES).parquet(*[folders[x] for x in now]), q, limit - len(rows), after)
+            rows += match.matches(few, request.query, capped=True).select(*ADDRESS, "doc_id", "sentence_id", "sentence_length", "word", "matches").orderBy(*ADDRESS).collect()
+        return rows, self._count(df, q, request, index if indexed else None) if request.count else None
+
+    def _count(self, df: DataFrame, q: Compiled, request: SearchQuery, index: DataFrame | None) -> int:
+        if index is None or not q.decided:
+            return match.count(df, request.query)
+        return postings.candidates(index, df, q.candidate).count()
+
+
 def _hit(r) -> Hit:
     words = tuple("" if w is None else w for w in r["word"] or ())
     text = lambda a, b: " ".join(words[a : min(b, len(words))]) if 0 <= a < len(words) else ""

@@ -224,6 +224,84 @@ def sink_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.sentences().agg(F.count(F.lit(1)).alias("n_sentences"), F.count_distinct("sent_ord").alias("n_places")).withColumn("splits", F.lit(s.splits))
 
 
+def _parted(spark: SparkSession, sf_dir: str, n: int = 6) -> list:
+    """Documents in the wire format as n batches, each made when it is asked for."""
+    path = _fresh(spark, "wire")
+    _wire(sentences(spark, sf_dir)).write.parquet(path)
+    wire = spark.read.parquet(path)
+    return [lambda k=k: wire.where(F.pmod(F.xxhash64("path"), F.lit(n)) == k) for k in range(n)]
+
+
+def _sizes(store: Store) -> DataFrame:
+    return store.sentences().agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("sentence_length").cast("long").alias("n_tokens"), F.count_distinct("split_id").alias("n_splits"))
+
+
+def sink_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, _fresh(spark, "table"))
+    stats = store.add_batches(_parted(spark, sf_dir), lanes=3)
+    return _sizes(store).select("*", F.lit(stats.batches).alias("batches"), F.lit(stats.documents).cast("long").alias("n_documents"))
+
+
+def sink_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that stops after two batches, and one that takes up what is left."""
+    store, batches = Store(spark, _fresh(spark, "table")), _parted(spark, sf_dir)
+    first = store.add_batches(batches, stop=lambda: store.ledger().count() >= 2)
+    again = store.add_batches(batches)
+    return _sizes(store).select("*", F.lit(first.batches).alias("first_batches"), F.lit(again.known_batches).alias("again_known"), F.lit(again.batches).alias("again_batches"))
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> Store:
+    """The sentences as an indexed store of four splits in page order."""
+    store, df = Store(spark, _fresh(spark, "table"), ("word", "tag", c.OUT, c.IN)), sentences(spark, sf_dir)
+    low, high = df.agg(F.min("split_id"), F.max("split_id")).first()
+    part = F.floor((F.col("split_id") - low) * 4 / (high - low + 1))
+    for k in range(4):
+        store.add_sentences(df.where(part == k).withColumn("sent_ord", F.col("split_id") * (1 << 24) + F.col("sent_ord")), batch=f"part-{k}")
+    return store
+
+
+def lm_stored_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.StoreSearcher(_indexed(spark, sf_dir), timeout_s=600).search(search.SearchQuery(PAGED, limit=20))
+    return spark.createDataFrame([(h.sentence_id,) for h in found.hits], "sentence_id string")
+
+
+def ag_stored_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts that the stored postings decide, without reading a sentence."""
+    searcher = search.StoreSearcher(_indexed(spark, sf_dir), timeout_s=600)
+    return spark.createDataFrame([(q, searcher.search(search.SearchQuery(q, limit=1, count=True)).total_hits) for q in STORED], "query string, n long")
+
+
+def lm_exhausted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 1,000 hits up to the one that says it is the last."""
+    searcher, cursor, rows = search.Searcher(lambda: sentences(spark, sf_dir), timeout_s=600), None, []
+    while not rows or cursor:
+        r = searcher.search(search.SearchQuery("[tag=VBD] >nsubj [word=/th.*/]", limit=1000, cursor=cursor))
+        rows.append((len(rows) + 1, len(r.hits), r.exhausted))
+        cursor = r.next_cursor
+    return spark.createDataFrame(rows, "page int, n_hits long, exhausted boolean")
+
+
+def fn_slot_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sentences(spark, sf_dir).select(KEY, enc.encode_tokens(F.col("word")).alias("v"))
+    return enc.slot_terms(df, F.col("v"), False, (KEY,)).select(KEY, "position", "term")
+
+
+def fn_slot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sentences(spark, sf_dir).select(KEY, enc.encode_edges(F.col("incoming_edges")).alias("v"))
+    return enc.slot_terms(df, F.col("v"), True, (KEY,)).select(KEY, "position", "term")
+
+
+def fn_legacy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commas written as the old sign of an empty token come back as empty tokens."""
+    old = F.transform("word", lambda w: F.when(w == ",", enc.EMPTY_TOKEN).otherwise(w))
+    return sentences(spark, sf_dir).select(KEY, F.array_join(enc.decode_tokens_legacy(enc.encode_tokens(old)), " ").alias("text"))
+
+
+def fn_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = enc.outgoing(F.col("sentence_length"), F.col("graph.edges"))
+    return sentences(spark, sf_dir).select(KEY, F.posexplode(own).alias("i", "edges")).select(KEY, "i", F.explode("edges").alias("e")).select(KEY, "i", "e.dst", "e.rel")
+
+
 def sq_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.captures(sentences(spark, sf_dir), "(?<d> [tag=DT]) (?<n:phrase> [tag=NN])", (KEY,)).select(KEY, "name", F.col("start").alias("s"), F.col("end").alias("e"), "text")
 
@@ -343,6 +421,7 @@ def cf_postings_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAGE = "SELECT sentence_id FROM (SELECT DISTINCT s.sentence_id, CAST(s.doc_id AS BIGINT) AS d, s.sent_ord FROM edge x JOIN sent s USING (sentence_id) JOIN tok a ON a.sentence_id = x.sentence_id AND a.i = x.src JOIN tok b ON b.sentence_id = x.sentence_id AND b.i = x.dst WHERE x.rel = 'nsubj' AND a.tag = 'VBD' AND b.tag LIKE 'NN%' ORDER BY d, sent_ord LIMIT 20 OFFSET {})"
+STORED = ("[tag=VBD]", "the", "[word=/th.*/]")
 _ESCAPED = r"regexp_replace({}, '([\\|,])', '\\\1', 'g')"
 
 OTHERS: dict[str, tuple] = {
@@ -351,6 +430,15 @@ OTHERS: dict[str, tuple] = {
         JOIN (SELECT sentence_id, string_agg(rel, ',' ORDER BY dst, rel) AS labels_in FROM (SELECT DISTINCT sentence_id, dst, rel FROM edge UNION SELECT sentence_id, r, 'root' FROM root) GROUP BY ALL) l USING (sentence_id)"""),
     "sink_idempotent": (sink_idempotent, "SELECT count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_tokens, 1 AS first_batches, 0 AS again_batches, 1 AS again_known FROM sent"),
     "sink_compact": (sink_compact, "SELECT count(*) AS n_sentences, count(*) AS n_places, 1 AS splits FROM sent"),
+    "sink_lanes": (sink_lanes, "SELECT count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_tokens, 6 AS n_splits, 6 AS batches, count(DISTINCT doc_id) AS n_documents FROM sent"),
+    "sink_resume": (sink_resume, "SELECT count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_tokens, 6 AS n_splits, 2 AS first_batches, 2 AS again_known, 4 AS again_batches FROM sent"),
+    "ag_stored_count": (ag_stored_count, "SELECT '[tag=VBD]' AS query, count(DISTINCT sentence_id) AS n FROM tok WHERE tag = 'VBD' UNION ALL SELECT 'the', count(DISTINCT sentence_id) FROM tok WHERE w = 'the' UNION ALL SELECT '[word=/th.*/]', count(DISTINCT sentence_id) FROM tok WHERE w LIKE 'th%'"),
+    "lm_stored_page": (lm_stored_page, _PAGE.format(0)),
+    "lm_exhausted": (lm_exhausted, "SELECT CAST(p AS INTEGER) AS page, least(1000, n - (p - 1) * 1000) AS n_hits, n - (p - 1) * 1000 < 1000 AS exhausted FROM (SELECT n, unnest(range(1, n // 1000 + 2)) AS p FROM (SELECT count(DISTINCT x.sentence_id) AS n FROM edge x JOIN tok a ON a.sentence_id = x.sentence_id AND a.i = x.src JOIN tok b ON b.sentence_id = x.sentence_id AND b.i = x.dst WHERE x.rel = 'nsubj' AND a.tag = 'VBD' AND b.w LIKE 'th%'))"),
+    "fn_slot_terms": (fn_slot_terms, "SELECT sentence_id, i AS position, w AS term FROM tok"),
+    "fn_slot_labels": (fn_slot_labels, "SELECT sentence_id, dst AS position, rel AS term FROM edge UNION SELECT sentence_id, CAST(r AS INTEGER), 'root' FROM root"),
+    "fn_legacy_tokens": (fn_legacy_tokens, "SELECT sentence_id, array_to_string(list_transform(w, lambda x: CASE WHEN x = ',' THEN '' ELSE x END), ' ') AS text FROM sent"),
+    "fn_outgoing": (fn_outgoing, "SELECT sentence_id, src AS i, dst, rel FROM edge"),
     "str_microbatch": (str_microbatch, "SELECT doc_id, count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_tokens FROM sent GROUP BY doc_id"),
     "sq_capture": (sq_capture, "SELECT sentence_id, k AS name, CASE k WHEN 'd' THEN i ELSE i + 1 END AS s, CASE k WHEN 'd' THEN i ELSE i + 1 END + 1 AS e, CASE k WHEN 'd' THEN w ELSE next END AS text"
                    " FROM (SELECT *, lead(tag) OVER (PARTITION BY sentence_id ORDER BY i) AS x, lead(w) OVER (PARTITION BY sentence_id ORDER BY i) AS next FROM tok), (VALUES ('d'), ('n')) v(k) WHERE tag = 'DT' AND x = 'NN'"),

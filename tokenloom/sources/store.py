@@ -4,6 +4,8 @@
     table/data/<folder>/      files of one batch
     table/ledger/            rows of LEDGER; the last one of a batch holds
     table/rejects/           documents that were refused, with reasons
+    table/claims/            one empty file for each split number that a writer took, so no two take one
+    table/index/<folder>/     postings of a batch's sentences, where the table is indexed
 
 A batch counts once its ledger row is there, and the row is written after its files: a run that dies leaves a folder that no
 reader sees. A batch is known by a hash of its documents, so the same one is never taken twice.
@@ -13,12 +15,15 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..errors import EngineError, InvalidDocument, SchemaMismatch
 from ..schema import LEDGER, SENTENCES, ddl, strict
+from ..operators import postings
 from . import annotated
 
 BATCH_DOCS = 67_000
@@ -34,15 +39,22 @@ class IngestStats:
     rejected: int = 0
     batches: int = 0
     known_batches: int = 0
+    empty_batches: int = 0
+    indexed_batches: int = 0
+    splits: int = 0
+    lanes: int = 0
+    stopped: int = 0
     read_s: float = 0.0
     write_s: float = 0.0
+    index_s: float = 0.0
     commit_s: float = 0.0
+    total_s: float = 0.0
     errors: list[tuple[str, str]] = field(default_factory=list)
 
     def absorb(self, other: IngestStats) -> None:
         for f in fields(self):
             mine, new = getattr(self, f.name), getattr(other, f.name)
-            setattr(self, f.name, mine + new)
+            setattr(self, f.name, max(mine, new) if f.name in ("lanes", "stopped") else mine + new)
         del self.errors[KEPT_ERRORS:]
 
 
@@ -68,10 +80,10 @@ def batch_hash(docs: DataFrame, order: str, value: str = "value") -> str:
 
 
 class Store:
-    """A sentences table in a folder."""
+    """A sentences table in a folder. index: fields whose postings are written with each batch."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, index: tuple[str, ...] = ()):
+        self.spark, self.path, self.index = spark, path.rstrip("/"), tuple(index)
 
     # ---- files
 
@@ -122,15 +134,15 @@ class Store:
         """The last row of each batch."""
         if not self._exists("ledger"):
             return self.spark.createDataFrame([], LEDGER + ", folder string")
-        rows = self.spark.read.schema(LEDGER + ", folder string").parquet(f"{self.path}/ledger")
+        rows = self.spark.read.schema(LEDGER + ", folder string").option("recursiveFileLookup", "true").parquet(f"{self.path}/ledger")
         last = Window.partitionBy("batch_hash").orderBy(F.col("committed").desc())
         return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
     def _record(self, rows: list[tuple]) -> None:
-        """Append to the ledger: batch_hash, status, documents, sentences, rejected, split_id, folder. All rows are one file, there or not."""
+        """Append to the ledger: batch_hash, status, documents, sentences, rejected, split_id, folder. All rows are one file, there or not, in a folder of its own, so that writers don't meet."""
         names = "batch_hash string, status string, documents long, sentences long, rejected long, split_id long, folder string"
         df = self.spark.createDataFrame(rows, names).withColumn("committed", F.current_timestamp())
-        df.select(*[c.split()[0] for c in LEDGER.split(", ")], "folder").coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+        df.select(*[c.split()[0] for c in LEDGER.split(", ")], "folder").coalesce(1).write.parquet(f"{self.path}/ledger/{uuid.uuid4().hex}")
 
     def _live(self) -> list:
         return self.ledger().where("status = 'committed'").orderBy("split_id").collect()
@@ -152,7 +164,40 @@ class Store:
     # ---- writing
 
     def _next_split(self) -> int:
-        return (self.ledger().agg(F.max("split_id")).first()[0] or 0) + 1
+        """A split number that no batch has and no other writer can take: making a file that must not be there yet claims it."""
+        n = (self.ledger().agg(F.max("split_id")).first()[0] or 0) + 1
+        while not self._claim(n):
+            n += 1
+        return n
+
+    def _claim(self, split: int) -> bool:
+        fs, at = self._fs(f"{self.path}/claims/{split}")
+        try:
+            fs.create(at, False).close()
+            return True
+        except Exception:
+            if fs.exists(at):
+                return False
+            raise
+
+    def _index(self, folder: str) -> None:
+        """Write the postings of a batch's sentences: sorted by field and term, with bloom filters, before the batch counts."""
+        rows = self.spark.read.schema(SENTENCES).parquet(f"{self.path}/data/{folder}")
+        postings.write(postings.build(rows, self.index), f"{self.path}/index/{folder}", 1)
+
+    def build_index(self) -> int:
+        """Index the batches that count and have no postings yet (made by compaction, or before the table was indexed); how many they were."""
+        missing = [r.folder for r in self._live() if r.sentences and not self._exists(f"index/{r.folder}/_SUCCESS")]
+        for folder in missing:
+            self._index(folder)
+        return len(missing)
+
+    def postings(self) -> DataFrame | None:
+        """Postings of the whole table; None if some batch has none."""
+        folders = [r.folder for r in self._live() if r.sentences]
+        if not folders or not all(self._exists(f"index/{f}/_SUCCESS") for f in folders):
+            return None
+        return self.spark.read.schema(postings.DDL).parquet(*[f"{self.path}/index/{f}" for f in folders])
 
     def _write(self, df: DataFrame, split_id: int) -> tuple[str, int]:
         folder = uuid.uuid4().hex
@@ -168,10 +213,12 @@ class Store:
         if batch and self.ledger().where((F.col("batch_hash") == batch) & (F.col("status") != "deleted")).count():
             return IngestStats(known_batches=1)
         folder, n = self._write(df, split := self._next_split())
+        if self.index:
+            self._index(folder)
         self._record([(batch or f"rows-{folder}", "committed", 0, n, 0, split, folder)])
-        return IngestStats(sentences=n, batches=1)
+        return IngestStats(sentences=n, batches=1, splits=1, indexed_batches=int(bool(self.index)))
 
-    def add_documents(self, files: DataFrame, policy: str = "fail") -> IngestStats:
+    def add_documents(self, files: DataFrame, policy: str = "fail", split: int | None = None) -> IngestStats:
         """Add one batch of files (path, value; paths are distinct). policy: fail at the first unsound document, or skip those and keep them in rejects.
 
         Only the batch's paths are sorted, on the driver; the documents stay where they are read, and nothing is shuffled.
@@ -183,7 +230,7 @@ class Store:
         paths = sorted(r[0] for r in files.select("path").collect())  # a batch is bounded
         n = len(paths)
         if not n:
-            return stats
+            return IngestStats(empty_batches=1)
         if len(set(paths)) < n:
             raise EngineError("two documents of a batch have one path")
         places = self.spark.createDataFrame(list(enumerate(paths)), "place long, path string")
@@ -200,30 +247,61 @@ class Store:
             stats.rejected = bad.count() if stats.errors else 0
             stats.read_s = time.monotonic() - began
             began = time.monotonic()
-            split = self._next_split()
+            split = self._next_split() if split is None else split
             folder, stats.sentences = self._write(annotated.flatten(checked, split, "place"), split)
             if stats.errors:
-                bad.write.mode("append").parquet(f"{self.path}/rejects")
+                bad.write.parquet(f"{self.path}/rejects/batch={folder}")
             stats.write_s = time.monotonic() - began
             began = time.monotonic()
+            if self.index and stats.sentences:
+                self._index(folder)
+                stats.indexed_batches, stats.index_s = 1, time.monotonic() - began
+            began = time.monotonic()
             self._record([(name, "committed", n - stats.rejected, stats.sentences, stats.rejected, split, folder)])
             stats.commit_s = time.monotonic() - began
-            stats.documents, stats.batches = n - stats.rejected, 1
+            stats.documents, stats.batches, stats.splits, stats.total_s = n - stats.rejected, 1, 1, stats.read_s + stats.write_s + stats.index_s + stats.commit_s
             return stats
         finally:
             placed.unpersist()
 
-    def add_folder(self, folder: str, limit: int | None = None, batch_docs: int = BATCH_DOCS, policy: str = "fail", stop=lambda: False) -> IngestStats:
-        """Add all documents under folder in batches of batch_docs files, in order of path. stop() is asked between batches."""
+    def add_batches(self, batches: Iterable[Callable[[], DataFrame]], policy: str = "fail", lanes: int = 1, stop=lambda: False) -> IngestStats:
+        """Add batches, lanes of them at a time; each is made when a lane takes it, so no more than lanes are open.
+
+        Split numbers are claimed in the batches' order, so pages don't depend on which lane is faster. Batches that an earlier run has
+        committed are known by their documents, so a run that was stopped or died is resumed by running it again. stop() is asked before
+        each batch. The first error stops the lanes after the batches that they are in, and is raised then.
+        """
         self.ensure()
-        paths = annotated.list_files(self.spark, folder, limit)
-        stats = IngestStats()
-        for at in range(0, len(paths), batch_docs):
-            if stop():
-                break
-            stats.absorb(self.add_documents(annotated.read_files(self.spark, paths[at : at + batch_docs]), policy))
+        stats, failed = IngestStats(lanes=lanes), []
+
+        def lane(batch: Callable[[], DataFrame], split: int) -> IngestStats:
+            if failed or stop():
+                return IngestStats(stopped=1)
+            try:
+                return self.add_documents(batch(), policy, split)
+            except Exception as e:
+                failed.append(e)
+                raise
+
+        with ThreadPoolExecutor(lanes) as pool:
+            running = []
+            for batch in batches:
+                while len(running) >= lanes:
+                    stats.absorb(running.pop(0).result())
+                if failed or stop():
+                    stats.stopped = 1
+                    break
+                running.append(pool.submit(lane, batch, self._next_split()))
+            for r in running:
+                stats.absorb(r.result())
         return stats
 
+    def add_folder(self, folder: str, limit: int | None = None, batch_docs: int = BATCH_DOCS, policy: str = "fail", stop=lambda: False, lanes: int = 1) -> IngestStats:
+        """Add all documents under folder in batches of batch_docs files, in order of path, lanes of them at a time."""
+        paths = annotated.list_files(self.spark, folder, limit)
+        batch = lambda at: lambda: annotated.read_files(self.spark, paths[at : at + batch_docs])
+        return self.add_batches([batch(at) for at in range(0, len(paths), batch_docs)], policy, lanes, stop)
+
     # ---- upkeep
 
     def compact(self, target: int = SPLIT_SENTENCES) -> int:
@@ -252,10 +330,16 @@ class Store:
         paths = [f"{self.path}/data/{r.folder}" for r in group if r.sentences]
         folder = uuid.uuid4().hex
         merged = self.spark.read.schema(SENTENCES).parquet(*paths) if paths else self.spark.createDataFrame([], SENTENCES)
-        # Places are numbered anew in page order; a group is bounded by the target.
-        place = F.row_number().over(Window.orderBy("split_id", "sent_ord")).cast("long") - 1
-        merged = merged.withColumn("sent_ord", place).withColumn("split_id", F.lit(split).cast("long"))
+        # Places are numbered anew in page order: within each old split, after the rows of the splits before it.
+        before, base = 0, {}
+        for r in sorted(group, key=lambda r: r.split_id):
+            base[r.split_id], before = before, before + r.sentences
+        offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in base.items() for x in pair]), F.col("split_id"))
+        place = F.row_number().over(Window.partitionBy("split_id").orderBy("sent_ord")).cast("long") - 1
+        merged = merged.withColumn("sent_ord", offset + place).withColumn("split_id", F.lit(split).cast("long"))
         merged.repartitionByRange(max(1, n // SPLIT_SENTENCES), "sent_ord").sortWithinPartitions("sent_ord").write.parquet(f"{self.path}/data/{folder}")
+        if self.index:
+            self._index(folder)
         return [(f"merged-{folder}", "committed", sum(r.documents for r in group), n, 0, split, folder), *[(r.batch_hash, "replaced", r.documents, r.sentences, r.rejected, r.split_id, r.folder) for r in group]]
 
     def collect_garbage(self, grace_s: float = GRACE_S, staged_grace_s: float = STAGED_GRACE_S, dry_run: bool = False) -> GcReport:
@@ -264,7 +348,8 @@ class Store:
         now = time.time()
         gone = [(name, size) for name, changed, size in self._folders() if known.get(name) != "committed" and now - changed > (grace_s if name in known else staged_grace_s)]
         for name, _ in [] if dry_run else gone:
-            fs, at = self._fs(f"{self.path}/data/{name}")
-            fs.delete(at, True)
+            for part in ("data", "index"):
+                fs, at = self._fs(f"{self.path}/{part}/{name}")
+                fs.delete(at, True)
         return GcReport(tuple(name for name, _ in gone), sum(s for _, s in gone), dry_run)
 
