@@ -92,3 +92,23 @@ def test_verdicts_of_a_pattern_stay_when_hosts_are_added(spark):
     more = [(100 + i, f"http://h{i}.{('com/en', 'org/es', 'net/de', 'info')[i % 4]}/", link(f"http://h{i + 1}.info/")) for i in range(4000)]
     verdicts = [{r[0]: r[4] for r in found(filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"))) if r[0] < 100} for rows in (pattern, pattern + more)]
     assert verdicts[0] == verdicts[1] == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "allow"}
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    from tokenloom.llm.url_filter import OP8_SQL
+
+    link = lambda *to: " ".join(f'<a class="x" href="{t}">l</a>' for t in to)
+    pages = [(i, u, None) for i, u in enumerate(URLS)] + [
+        (100, "http://spam1.info/", link("http://y.org/es/1", "http://yorg/x")), (101, "http://spam2.info/a", link("//y.org/es/2")), (102, "http://spam3.info/", link("http://spam1.info/", "http://spam2.info/")), (102, "http://spam3.info/", link("http://spam1.info/")),
+        (104, "http://x.net/de/2", link("http://good.info/", "http://spam3.info/") + "<a href=http://q.org/es/>"), (105, "http://plain.info/", link("/rel", "http://plain.info/2")), (106, None, link("http://y.org/")), (107, "http://Y.org/\nx", "<a\nhref='http://q.org/'>"),
+    ]
+    for rows in (pages, pages[: len(URLS)], []):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+        if rows:
+            con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+        cur = con.execute(OP8_SQL)
+        at = [[d[0] for d in cur.description].index(c) for c in ("page_id", "host", "path", "rule", "verdict")]
+        assert sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=repr) == found(filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")))
