@@ -66,3 +66,20 @@ def test_odd_rows(spark, docs, empty, clashing):
     left = decontaminate(clashing, items)
     assert left.columns == clashing.columns and left.count() == docs.count() - 5
     assert decontaminate(docs, none).count() == docs.count()
+
+
+def test_a_template_of_items_and_documents_does_not_pair_them_all(spark):
+    """A line that all items and all documents have makes no candidates, and items that a document has are found nonetheless."""
+    from pyspark.sql import functions as F
+
+    from tokenloom.llm import decontamination as d
+
+    template = "answer the following question with one of these letters only"
+    items = [(i, template + " " + " ".join(f"own{i}x{k}" for k in range(30))) for i in range(40)]
+    docs = [(i, template + " " + " ".join(f"doc{i}x{k}" for k in range(50))) for i in range(60)] + [(100 + i, "before " + t + " after") for i, t in items[::10]]
+    own = spark.createDataFrame(items, "item_id long, text string").select(F.col("item_id").alias("__item"), d.shingle_hashes(d.words_of(F.col("text"))).alias("__hashes"))
+    probes = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", F.explode(d.shingle_hashes(d.words_of(F.col("text")))).alias("__hash"))
+    met = probes.join(d.item_sketches(own), "__hash").groupBy("doc_id", "__item").agg(F.count(F.lit(1)).alias("n"), F.max("__need").alias("need")).where("n >= need")
+    assert sorted((r.doc_id, r["__item"]) for r in met.collect()) == [(100 + i, i) for i, _ in items[::10]]
+    got = found(contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute(docs, items) and len(got) == 4

@@ -71,3 +71,37 @@ def test_odd_rows(docs, empty, clashing):
     assert {(r.log_weight, r.score) for r in out.where("text IS NULL").collect()} == {(0.0, 0.5)}
     assert ir.resample(ir.weigh_texts(empty, ratios), 0.5).collect() == []
     assert (ir.learn_ratios(empty, F.lit(True)) == 0).all()
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """All rows of the query, with weights and ratios added up one n-gram at a time."""
+    import regex
+    import xxhash
+
+    rows = [(i, t) for i, t in good_and_bad(150)] + [(500, None), (501, ""), (502, "Émile's ÜBER-word, again: again again"), (None, "without an identifier")]
+    labels = [(i, int(i % 5 != 0) if i % 3 else None, 0) for i in range(0, 150, 2)] + [(None, 1, 0), (9999, 1, 0), (4, 1, 0)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    m = (1 << 64) - 1
+
+    def grams(text):
+        words = [xxhash.xxh64_intdigest(w.encode()) for w in regex.findall(r"\w+|[^\w\s]+", (text or "").lower())]
+        pairs = [((((a * 0x9E3779B97F4A7C15) & m) ^ (a >> 31)) + b) & m for a, b in zip(words, words[1:], strict=False)]
+        return [(h ^ (h >> 32)) % ir.BINS for h in words + pairs]
+
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    raw, wanted = [ir.SMOOTH] * ir.BINS, [ir.SMOOTH] * ir.BINS
+    for i, t in rows:
+        for g in grams(t):
+            raw[g] += 1
+            wanted[g] += i in good
+    weight = lambda t: sum(math.log(wanted[g] / sum_wanted) - math.log(raw[g] / sum_raw) for g in grams(t))
+    sum_raw, sum_wanted = sum(raw), sum(wanted)
+    noise = {r.doc_id: r.g for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", ir.gumbel(F.col("doc_id"), "gumbel").alias("g")).collect()}
+    keys = sorted(((-(weight(t) + noise[i]), i is None, i or 0) for i, t in rows))
+    known = [q for _, q, _ in labels if q is not None]
+    chosen = {(None if none else i) for _, none, i in keys[: round(len(rows) * sum(q == 1 for q in known) / len(known))]}
+    got = {r.doc_id: r for r in ir.op10_importance_resampling(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert got[i].log_weight == pytest.approx(weight(t), abs=1e-6) and got[i].score == pytest.approx(1 / (1 + math.exp(min(500.0, max(-500.0, -weight(t))))), abs=1e-6) and got[i].selected == (i in chosen)
