@@ -30,7 +30,7 @@ def df(spark):
 
 QUERIES = [
     "the", "[tag=A]", "[tag=/[AB]/]", "[word=T~]", "[word!=the]", "[word!=T~]", "[!tag=A & word=elm]", "[tag=A | lemma=elm]", "[!(tag=A | word=oak)]", "[]", "[nosuch=x]", "[nosuch!=x]", "[word=/.*/]", "[lemma=/.?/]", "[lemma!=elm & tag=B]",
-    "[tag=A] [tag=B]", "the elm", "the [] oak", "[tag=A] [] [] [tag=B]", "[tag=A] []{0,2} [tag=B]", "[tag=A] []{1,3}? [tag=C]", "[tag=A]+", "[tag=A]*", "[tag=A]+? [tag=B]", "[tag=A]{2,3}", "[tag=A]{,2} [tag=C]", "[tag=A] [tag=B]? [tag=C]",
+    "[tag=A] [tag=B]", "the elm", "the [] oak", "[tag=A] [] [] [tag=B]", "[tag=A] []{0,2} [tag=B]", "[tag=A] []{1,3}? [tag=C]", "[tag=A]+", "[tag=A]*", "[tag=A]+? [tag=B]", "[tag=A]+?", "[tag=A] [tag=B]{2,4}?", "(?<x> [tag=A])+?", "(?<y> [tag=C] (?<x> [tag=A]){2,}?)", "[tag=A] (?=[tag=B]+?)", "[tag=A]{2,3}", "[tag=A]{,2} [tag=C]", "[tag=A] [tag=B]? [tag=C]",
     "([tag=A] [tag=B])+", "[tag=A] (?=[tag=B])", "[tag=A] (?![tag=B])", "(?<=[tag=A]) [tag=B]", "(?<![tag=A]) [tag=B]", "(?<=[tag=A] [tag=B]) [tag=B]", "[tag=A]+ (?=[tag=B] [tag=C])", "(?<![tag=A]) [tag=B]+", "(?=[tag=A])", "(?![tag=A])",
     "(?<x> [tag=A]) (?<y:phrase> [tag=B] [])", "(?<x> [tag=A])+ [tag=B]", "[tag=A]* [tag=B]* [tag=C]* [word=elm]", "([tag=A]+ [tag=B])*", "[word=/a\\|b/]", "[word=/t.*/ & tag=A] [lemma=/ü/]",
     "[tag=A] >x [tag=B]", "[tag=A] <x [tag=B]", "[] >> []", "[] << [tag=C]", "[] >/z+/ []", "[tag=A] >x|zz [tag=B]", "[tag=A] >x? [tag=B]", "[tag=A] >x* [tag=B]", "[tag=A] >y+ [tag=B]", "[] >x >y []", "[tag=A] >x [tag=B] <y [tag=C]",

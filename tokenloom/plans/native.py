@@ -328,7 +328,18 @@ def fixed(p: Pattern) -> Fixed | None:
             return True
         return False
 
-    return Fixed(tuple(tests), tuple(looks), tuple(captures)) if put(p) else None
+    return Fixed(tuple(tests), tuple(looks), tuple(captures)) if put(settled(p)) else None
+
+
+def settled(p: Pattern) -> Pattern:
+    """p with a lazy repetition at its end written out: nothing comes after it, so it never goes more rounds than it must."""
+    if isinstance(p, Seq) and p.items:
+        return Seq((*p.items[:-1], settled(p.items[-1])))
+    if isinstance(p, Capture):
+        return Capture(p.name, settled(p.of))
+    if isinstance(p, Repeat) and not p.greedy and 1 <= p.least <= MAX_FIXED:
+        return Seq((p.of,) * p.least)
+    return p
 
 
 @dataclass(frozen=True)
