@@ -49,3 +49,10 @@ def test_empty_table_and_clashing_names(empty, clashing, docs):
     out = exact_dedup(clashing)
     assert found(out) == expected([tuple(r) for r in docs.collect()])
     assert sorted(out.columns) == sorted(clashing.columns)
+
+
+def test_dealing_out_starts_no_python_rdd(spark, monkeypatch):
+    rows = [(i, "same text") for i in range(600)] + [(1000 + i, f"text {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: (_ for _ in ()).throw(AssertionError("rows went through a Python RDD")))
+    assert found(exact_dedup(df, partitions=4)) == expected(rows)

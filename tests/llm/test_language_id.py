@@ -126,3 +126,28 @@ def test_samples_are_bounded_drawn_by_hash_and_do_not_depend_on_files(spark, mon
     one, other = draw(df.repartition(7)), draw(df.coalesce(1).orderBy("text"))
     assert one == other and set(one) == {"de", "en"} and all(16_000 < sum(map(len, x)) <= 20_000 for x in one.values())
     assert any(t.startswith(b"long") or b"g long" in t for t in one["de"]) and all(len(t) <= 3000 for x in one.values() for t in x)
+
+
+def test_pieces_change_no_cost_and_bound_what_a_window_takes(monkeypatch):
+    import tracemalloc
+
+    from tokenloom.llm import language_id as module
+
+    draw = random.Random(5)
+    text = lambda n: bytes(draw.choice(b"abcdefgh \xc3\xa9") for _ in range(n))
+    trees = ContextTrees({x: [text(20_000)] for x in ("a", "b", "c", "d")})
+    tracemalloc.start()
+    trees.bits([text(1000) for _ in range(module.WINDOW // 1000)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 22_000_000  # 17 MB; 28 MB where a window was looked up at once
+    texts = [text(n) for n in (0, 1, module.PIECE - 1, module.PIECE, module.PIECE + 1, 3 * module.PIECE)]
+    got = trees.bits(texts)
+    monkeypatch.setattr(module, "PIECE", 1 << 30)
+    assert (got == trees.bits(texts)).all()
+
+
+def test_learning_starts_no_python_rdd(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i} of it", "en" if i % 2 else "de") for i in range(20)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("rows went through a Python RDD"))
+    assert learn(df).languages == ["de", "en"]

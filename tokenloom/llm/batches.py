@@ -37,5 +37,6 @@ def groups(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
 def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of rows; a run of length 0 sums to 0."""
     ends = np.cumsum(lengths)
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    total = np.zeros((len(values) + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
     return total[ends] - total[ends - lengths]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The white space of the corpus contracts, and the bytes that part words of a normalised text.
@@ -51,6 +52,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A table of the driver's own rows, of strings and longs, as a local relation.
+
+    createDataFrame(rows) would send them through a Python RDD, for which executors start a second daemon, which stays, and workers of its own.
+    """
+    return spark.createDataFrame(pa.table({c: pa.array(x, pa.string() if x and isinstance(x[0], str) else pa.int64()) for c, x in columns.items()}))
+
+
 def tables_made() -> int:
     """How many intermediate tables there are by now: those made later can be removed by themselves."""
     return len(_written)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, others, quoted, shuffle_partitions, text_of
+from .common import SPACE, others, quoted, shuffle_partitions, small_table, text_of
 
 #: Characters of a splitter. Longer common beginnings are told apart by hash; equality is decided on whole texts.
 SPLITTER_CHARS = 48
@@ -34,7 +34,7 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", p
     total = df.count()
     # At most 2 * n texts can each have more than 1 / (2 * n) of the rows, so this list is bounded by the partitions.
     hot = src.groupBy("__hash").count().where(F.col("count") * (2 * n) > F.lit(max(total, 2 * n))).collect()
-    salts = df.sparkSession.createDataFrame([(r[0], -(-r[1] * 4 * n // total)) for r in hot], "__hash long, __salts long") if hot else None
+    salts = small_table(df.sparkSession, __hash=[r[0] for r in hot], __salts=[-(-r[1] * 4 * n // total) for r in hot]) if hot else None
     if hot:
         src = src.join(F.broadcast(salts), "__hash", "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(ident), F.col("__salts"))))
     else:

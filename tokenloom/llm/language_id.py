@@ -19,15 +19,15 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import bounded_batches, segment_sums
-from .common import others, quoted
+from .common import others, quoted, small_table
 
 ORDER = 4
 #: Most bytes of sample learnt from for each language, for all languages together, and of one piece of a document in it.
 SAMPLE_BYTES, ALL_SAMPLE_BYTES, SAMPLE_DOC_BYTES = 2_000_000, 256_000_000, 200_000
 #: Pieces are drawn by a hash of so many values; so much more is drawn than is learnt from, as pieces differ in length.
 PLACES, SPARE = 1 << 30, 1.25
-#: Bytes scored at once.
-WINDOW = 1 << 18
+#: Bytes scored at once, and those of them whose strings are looked up at once: what a look-up needs on the way takes several times its result.
+WINDOW, PIECE = 1 << 18, 1 << 14
 MADE = ("lang_pred", "score", "bits_per_byte")
 UNKNOWN = "und"
 #: Before its first byte a text stands in this context.
@@ -110,6 +110,12 @@ class ContextTrees:
 
     def cost(self, stream: np.ndarray) -> np.ndarray:
         """Code lengths in bits of the bytes of stream after its first ORDER ones: a row a byte, a column a language."""
+        out = np.empty((len(stream) - self.order, len(self.languages)))
+        for at in range(0, len(out), PIECE):
+            out[at : at + PIECE] = self._cost(stream[at : at + PIECE + self.order])
+        return out
+
+    def _cost(self, stream: np.ndarray) -> np.ndarray:
         code = strings(stream, self.order + 1)
         out = np.zeros((len(code), len(self.languages)))
         left: np.ndarray | slice = slice(None)
@@ -189,7 +195,7 @@ def draw_samples(train: DataFrame, text_col: str, lang_col: str, id_col: str, sa
     if not sizes:
         return {}
     most = min(sample_bytes, ALL_SAMPLE_BYTES // len(sizes))
-    limits = train.sparkSession.createDataFrame([(x, int(min(1.0, SPARE * most / n) * PLACES)) for x, n in sizes.items()], "lang string, limit long")
+    limits = small_table(train.sparkSession, lang=[*sizes], limit=[int(min(1.0, SPARE * most / n) * PLACES) for n in sizes.values()])
     place = lambda n: F.pmod(F.xxhash64("row", n), F.lit(PLACES))
     numbers = F.sequence(F.lit(0), F.ceil(F.octet_length("b") / SAMPLE_DOC_BYTES).cast("int") - 1)
     pieces = rows.join(F.broadcast(limits), "lang").select("lang", "row", "b", F.explode(F.filter(numbers, lambda n: place(n) < F.col("limit"))).alias("n"))
