@@ -6,13 +6,16 @@ lists and endings, the graph ties each token to its governor by its tag. Sentenc
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import ConfigError
 
@@ -21,7 +24,6 @@ DT = frozenset("the a an this la le les un une der die das el los".split())
 IN = frozenset("of to in for on with by at from de en von zu con por".split())
 CC = frozenset("and or et und y".split())
 VBD = frozenset("is was are be were".split())
-_TOKEN = regex.compile(r"[\p{L}\p{N}]+|[^ \t\n\x0b\f\r\p{L}\p{N}]")
 _WORD = regex.compile(r"[\p{L}\p{N}]")
 _DIGITS = regex.compile(r"[0-9]+")
 
@@ -43,83 +45,157 @@ def tag(w: str) -> str:
     return "NNP" if "A" <= w[0] <= "Z" else "NNS" if w.endswith("s") else "NN"
 
 
-_LABEL = {"DT": "det", "IN": "case", "RB": "advmod", "CC": "cc", "PUNCT": "punct", "SYM": "punct"}
-
-
-def edges(tags: list[str]) -> tuple[list[tuple[int, int, str]], int]:
-    """Edges of a sentence and its root."""
-    n, noun = len(tags), [t.startswith("NN") for t in tags]
-    root = next((i for i, t in enumerate(tags) if t[0] == "V"), 0)
-    out = []
-    for i, t in enumerate(tags):
-        if i == root:
-            continue
-        chained = noun[i] and i > 0 and noun[i - 1]
-        src = (i + 1 if i + 1 < n else root) if t in ("DT", "IN") else i - 1 if chained and i > root else root
-        rel = _LABEL.get(t) or ("conj" if t[0] == "V" else "nsubj" if i < root else "compound" if chained else "dobj")
-        out.append((src, i, rel))
-    return out + [(i, 0, "ref") for i, t in enumerate(tags) if i and t == "NNP"], root
-
-
-def runs(inside: list[bool], name: str) -> list[str]:
-    return [("I-" if i and inside[i - 1] else "B-") + name if x else "O" for i, x in enumerate(inside)]
-
-
 _STRINGS = pa.list_(pa.string())
 _GRAPH = pa.struct([("name", pa.string()), ("edges", pa.list_(pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("rel", pa.string())]))), ("roots", pa.list_(pa.int32()))])
 _MADE = pa.schema([
     ("doc_id", pa.string()), ("sentence_id", pa.string()), ("sent_ord", pa.int64()), ("sentence_length", pa.int32()),
-    *[(f, _STRINGS) for f in ("word", "lemma", "pos", "tag", "entity", "chunk", "norm", "raw")], ("outgoing_edges", pa.list_(_STRINGS)), ("incoming_edges", pa.list_(_STRINGS)), ("graph", _GRAPH),
+    *[(f, _STRINGS) for f in ("word", "lemma", "tag")], ("outgoing_edges", pa.list_(_STRINGS)), ("incoming_edges", pa.list_(_STRINGS)), ("graph", _GRAPH),
 ])
 _DDL = (
-    "doc_id string, sentence_id string, sent_ord long, sentence_length int, word array<string>, lemma array<string>, pos array<string>, tag array<string>, entity array<string>, chunk array<string>,"
-    " norm array<string>, raw array<string>, outgoing_edges array<array<string>>, incoming_edges array<array<string>>, graph struct<name:string,edges:array<struct<src:int,dst:int,rel:string>>,roots:array<int>>"
+    "doc_id string, sentence_id string, sent_ord long, sentence_length int, word array<string>, lemma array<string>, tag array<string>,"
+    " outgoing_edges array<array<string>>, incoming_edges array<array<string>>, graph struct<name:string,edges:array<struct<src:int,dst:int,rel:string>>,roots:array<int>>"
 )
 
 
-def sentences_of(doc_id: str, text: str) -> Iterator[tuple]:
-    for ln, line in enumerate(text.split("\n")):
-        for sn, part in enumerate(line.split(".")):
-            word = _TOKEN.findall(part)
-            n = len(word)
-            if not n:
-                continue
-            tags = [tag(w) for w in word]
-            arcs, root = edges(tags)
-            out: list[set[str]] = [set() for _ in word]
-            into: list[set[str]] = [set() for _ in word]
-            for src, dst, rel in arcs:
-                out[src].add(rel)
-                into[dst].add(rel)
-            into[root].add("root")
-            low = [w.lower() for w in word]
-            yield (
-                doc_id, f"{doc_id}_{ln}_{sn}", ln * 100000 + sn, n, word, low, [t[:2] for t in tags], tags, runs([t == "NNP" for t in tags], "ENT"), runs([t in ("DT", "CD") or t[:2] == "NN" for t in tags], "NP"),
-                low, word, [sorted(x) for x in out], [sorted(x) for x in into], {"name": "dependencies", "edges": [{"src": a, "dst": b, "rel": r} for a, b, r in arcs], "roots": [root]},
-            )
+#: Names by number: tags, and labels in order of the alphabet.
+_TAGS = ("PUNCT", "SYM", "CD", "DT", "IN", "CC", "VBD", "VBG", "RB", "NNP", "NNS", "NN")
+_RELS = ("advmod", "case", "cc", "compound", "conj", "det", "dobj", "nsubj", "punct", "ref", "root")
+_LABEL = {"DT": "det", "IN": "case", "RB": "advmod", "CC": "cc", "PUNCT": "punct", "SYM": "punct"}
+_TAG_NO, _REL = {t: k for k, t in enumerate(_TAGS)}, {r: k for k, r in enumerate(_RELS)}
+_VERB, _NOUN = np.array([t[0] == "V" for t in _TAGS]), np.array([t[:2] == "NN" for t in _TAGS])
+_FIXED_REL = np.array([_REL[_LABEL[t]] if t in _LABEL else -1 for t in _TAGS])
+#: Tokens, full stops and ends of lines, in any text and in one of plain ASCII.
+_CUTS, _ASCII_CUTS = regex.compile(r"[\p{L}\p{N}]+|[^ \t\x0b\f\r\p{L}\p{N}]"), re.compile(r"[A-Za-z0-9]+|[^ \t\x0b\f\rA-Za-z0-9]")
+#: Characters that are annotated at once; longer texts are taken in pieces of whole lines.
+PIECE = 1 << 19
+#: Bytes of a documents file for each partition of the sentences made from it.
+PART_BYTES = 4 << 20
+
+
+@lru_cache(1 << 17)
+def _tag_no(w: str) -> int:
+    return _TAG_NO[tag(w)]
+
+
+def _pieces(doc_id: str | None, text: str) -> Iterator[tuple[str | None, int, str]]:
+    """doc_id, number of the first line, lines."""
+    at = line = 0
+    while at < len(text):
+        end = text.find("\n", at + PIECE)
+        end = len(text) if end < 0 else end
+        yield doc_id, line, text[at:end]
+        line += text.count("\n", at, end) + 1
+        at = end + 1
+
+
+def _strings(names: tuple[str, ...], numbers: np.ndarray) -> pa.Array:
+    return pa.array(names, pa.string()).take(pa.array(numbers))
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), values)
+
+
+def _sentences(pieces: list[tuple[str | None, int, str]]) -> pa.RecordBatch | None:
+    """Sentences of pieces of documents, by arrays over all of their tokens at once; None if there are none."""
+    found = [(_ASCII_CUTS if text.isascii() else _CUTS).findall(text) for _, _, text in pieces]
+    flat = pa.array([w for words in found for w in words], pa.string()).dictionary_encode()
+    codes, distinct = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+    piece = np.repeat(np.arange(len(found)), [len(words) for words in found])
+    line_end, stop = (codes == (distinct.index(sign) if sign in distinct else -1) for sign in ("\n", "."))
+    token = ~(line_end | stop)
+    if not token.any():
+        return None
+    # Lines of a piece and sentences of a line are numbered by the signs before them.
+    lines, stops = np.cumsum(line_end), np.cumsum(stop)
+    line = piece + lines
+    begins = np.flatnonzero(np.diff(line, prepend=-1))
+    sent_no = stops - np.repeat((stops - stop)[begins], np.diff(begins, append=len(line)))
+    heads = np.flatnonzero(np.diff(piece, prepend=-1))
+    line_no = lines - np.repeat((lines - line_end)[heads], np.diff(heads, append=len(line))) + np.array([first for _, first, _ in pieces])[piece]
+    segment = (line + stops)[token]
+    codes, own = codes[token], np.flatnonzero(np.diff(segment, prepend=-1))
+    n = np.diff(own, append=len(segment))
+    at = np.flatnonzero(token)[own]
+    sentence = np.repeat(np.arange(len(own)), n)
+    i = np.arange(len(segment)) - own[sentence]
+
+    tags = np.array([_tag_no(w) for w in distinct])[codes]
+    noun, verb, name = _NOUN[tags], _VERB[tags], tags == _TAG_NO["NNP"]
+    first_verb = np.minimum.reduceat(np.where(verb, i, len(segment)), own)
+    root = np.where(first_verb < n, first_verb, 0)
+    r = root[sentence]
+    chained = noun & np.concatenate(([False], noun[:-1])) & (i > 0)
+    ahead = (tags == _TAG_NO["DT"]) | (tags == _TAG_NO["IN"])
+    governor = np.where(ahead, np.where(i + 1 < n[sentence], i + 1, r), np.where(chained & (i > r), i - 1, r))
+    rel = _FIXED_REL[tags]
+    rel = np.where(rel >= 0, rel, np.where(verb, _REL["conj"], np.where(i < r, _REL["nsubj"], np.where(chained, _REL["compound"], _REL["dobj"]))))
+    arcs, refs = np.flatnonzero(i != r), np.flatnonzero(name & (i > 0))
+    where = np.concatenate((sentence[arcs], sentence[refs]))
+    order = np.argsort(where, kind="stable")
+    where = where[order]
+    src, dst = np.concatenate((governor[arcs], i[refs]))[order], np.concatenate((i[arcs], np.zeros(len(refs), i.dtype)))[order]
+    rels = np.concatenate((rel[arcs], np.full(len(refs), _REL["ref"])))[order]
+
+    def slots(tokens: np.ndarray, labels: np.ndarray) -> pa.ListArray:
+        """The distinct labels of each token, in order."""
+        flags = np.zeros(len(i) * len(_RELS), bool)
+        flags[tokens * len(_RELS) + labels] = True
+        set_ = np.flatnonzero(flags)
+        return _lists(n, _lists(np.bincount(set_ // len(_RELS), minlength=len(i)), _strings(_RELS, set_ % len(_RELS))))
+
+    base = own[where]
+    into = slots(np.concatenate((base + dst, own + root)), np.concatenate((rels, np.full(len(own), _REL["root"]))))
+    doc, line_at, sent_at = piece[at], line_no[at], sent_no[at]
+    ids = [pieces[k][0] for k in doc]
+    word, low = _lists(n, flat.dictionary.take(pa.array(codes))), _lists(n, pa.array([w.lower() for w in distinct], pa.string()).take(pa.array(codes)))
+    edge = pa.StructArray.from_arrays([pa.array(src.astype(np.int32)), pa.array(dst.astype(np.int32)), _strings(_RELS, rels)], ["src", "dst", "rel"])
+    graph = pa.StructArray.from_arrays([_strings(("dependencies",), np.zeros(len(own), int)), _lists(np.bincount(where, minlength=len(own)), edge), _lists(np.ones(len(own), int), pa.array(root.astype(np.int32)))], ["name", "edges", "roots"])
+    columns = [
+        pa.array(ids, pa.string()), pa.array([f"{d}_{a}_{b}" for d, a, b in zip(ids, line_at.tolist(), sent_at.tolist(), strict=True)], pa.string()), pa.array(line_at * 100000 + sent_at), pa.array(n.astype(np.int32)),
+        word, low, _lists(n, _strings(_TAGS, tags)), slots(base + src, rels), into, graph,
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_MADE)
+
+
+def _whole(lean: DataFrame) -> DataFrame:
+    """With the columns that follow from word, lemma and tag, which aren't written: they are worked out where they are read."""
+    def runs(inside: Callable[[Column], Column], name: str) -> Column:
+        kind = lambda i: F.when((i > 0) & inside(F.get("tag", i - 1)), f"I-{name}").otherwise(f"B-{name}")
+        return F.transform("tag", lambda t, i: F.when(inside(t), kind(i)).otherwise("O"))
+
+    made = {
+        "pos": F.transform("tag", lambda t: F.substring(t, 1, 2)), "entity": runs(lambda t: t == "NNP", "ENT"), "chunk": runs(lambda t: t.isin("DT", "CD") | t.startswith("NN"), "NP"),
+        "norm": F.col("lemma"), "raw": F.col("word"),
+    }
+    order = ("doc_id", "sentence_id", "sent_ord", "sentence_length", "word", "lemma", "pos", "tag", "entity", "chunk", "norm", "raw", "outgoing_edges", "incoming_edges", "graph")
+    return lean.select(*[made[c].alias(c) if c in made else F.col(c) for c in order])
 
 
 def annotate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Sentences (without split) of the documents, in batches of a bounded number of rows. Null texts have none."""
+    """Sentences (without split) of the documents, in batches of a bounded number of characters. Null texts have none."""
+    return _whole(_annotated(docs, text_col, id_col))
+
+
+def _annotated(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held: list[tuple] = []
+        size = 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for row in sentences_of(doc_id, text or ""):
-                    rows.append(row)
-                    if len(rows) == 5000:
-                        yield _batch(rows)
-                        rows = []
-        if rows:
-            yield _batch(rows)
+            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+                for piece in _pieces(doc_id.as_py(), text.as_py() or ""):
+                    held.append(piece)
+                    size += len(piece[2])
+                    if size >= PIECE:
+                        if (made := _sentences(held)) is not None:
+                            yield made
+                        held, size = [], 0
+        if held and (made := _sentences(held)) is not None:
+            yield made
 
     return docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, _DDL)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MADE, strict=True)], schema=_MADE)
-
-
 _built: dict[tuple, str] = {}
 
 
@@ -149,11 +225,11 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, source, _state(spark, source))
     if key not in _built:
         docs = spark.read.parquet(source).select("doc_id", "text")
-        parts = spark.sparkContext.defaultParallelism
+        parts = max(spark.sparkContext.defaultParallelism, -(-sum(size for _, size, _ in key[2]) // PART_BYTES))  # so a task doesn't grow with the table
         path = f"{shared_folder(spark)}/sentences-{uuid.uuid4().hex}"
-        annotate(docs.repartitionByRange(parts, "doc_id")).write.parquet(path)
+        _annotated(docs.repartitionByRange(parts, "doc_id"), "text", "doc_id").write.parquet(path)
         _built[key] = path
-    return spark.read.parquet(_built[key]).withColumn("split_id", F.col("doc_id").cast("long"))
+    return _whole(spark.read.parquet(_built[key])).withColumn("split_id", F.col("doc_id").cast("long"))
 
 
 #: The same rules as SQL: sent(sentence_id, doc_id, sent_ord, w, n), tok(sentence_id, n, i, w, lemma, tag), edge(sentence_id, src, dst, rel).
