@@ -190,28 +190,64 @@ class Row:
 
 
     def walk_tuples(self, ways: list[list[list[Step]]], p: Plan, edges: Column, cap: int | None) -> Column:
-        """The first cap (None: all) of the distinct tuples of tokens, one for each endpoint, in order, as structs of t0, t1, ..."""
+        """The first cap (None: all) of the distinct tuples of tokens, one for each endpoint, in order, as structs of t0, t1, ...
+
+        The edges that can be a step (by label, and by the endpoints' tests where it is the first or the last of its walk) are found once
+        a sentence, so a chain looks through these only.
+        """
         none = F.array().cast("array<struct<" + ",".join(f"t{k}:int" for k in range(len(p.endpoints))) + ">>")
+        test = lambda i: p.endpoints[i].test
+        wanted = list(dict.fromkeys((i, way[k], k == 0 and i == 0, k == len(way) - 1) for i, own in enumerate(ways) for way in own for k in range(len(way))))
 
-        def onward(i: int, u: Column, so_far: list[Column]) -> Column:
-            """Tuples that go on from endpoint i at token u, which holds its test."""
-            if i == len(p.walks):
-                return F.array(F.struct(*[t.cast("int").alias(f"t{k}") for k, t in enumerate(so_far)]))
-            return _concat([steps(i, way, u, so_far) for way in ways[i]])
+        def own(key: tuple) -> Column:
+            i, step, first, last = key
+            def fits(e: Column) -> Column:
+                return _all([_labelled(step, e), *([holds(test(i), self.at(_near(step, e)))] if first else []), *([holds(test(i + 1), self.at(_far(step, e)))] if last else [])])
 
-        def steps(i: int, way: list[tuple[Step, ...]], u: Column, so_far: list[Column]) -> Column:
-            if not way:
-                return F.when(holds(p.endpoints[i + 1].test, self.at(u)), onward(i + 1, u, [*so_far, u])).otherwise(none)
-            return F.flatten(F.transform(F.filter(edges, lambda e: _step(way[0], e, u)), lambda e: steps(i, way[1:], _far(way[0], e), so_far)))
+            return F.filter(edges, fits)
+
+        def tuples(having: dict) -> Column:
+            def onward(i: int, u: Column, so_far: list[Column]) -> Column:
+                """Tuples that go on from endpoint i at token u, which holds its test."""
+                if i == len(p.walks):
+                    return F.array(F.struct(*[t.cast("int").alias(f"t{k}") for k, t in enumerate(so_far)]))
+                return _concat([steps(i, way, 0, u, so_far) for way in ways[i]])
+
+            def steps(i: int, way: list[tuple[Step, ...]], k: int, u: Column | None, so_far: list[Column]) -> Column:
+                """u is None at the very first step, which may begin anywhere."""
+                if not way:
+                    return F.when(holds(test(i + 1), self.at(u)), onward(i + 1, u, [*so_far, u])).otherwise(none)
+                step, last = way[k], k == len(way) - 1
+                some = having[i, step, k == 0 and i == 0, last]
+                some = some if u is None else F.filter(some, lambda e: _near(step, e) == u)
+
+                def go(e: Column) -> Column:
+                    before, far = so_far or [_near(step, e)], _far(step, e)
+                    return onward(i + 1, far, [*before, far]) if last else steps(i, way, k + 1, far, before)
+
+                return F.flatten(F.transform(some, go))
+
+            def first(way: list[tuple[Step, ...]]) -> Column:
+                if not way:
+                    return F.flatten(F.transform(F.filter(self.positions(), lambda u: holds(test(0), self.at(u))), lambda u: steps(0, [], 0, u, [u])))
+                return steps(0, way, 0, None, [])
+
+            return _bound(F.sort_array(_concat([first(way) for way in ways[0]])), _once)
+
+        def bind(left: list, having: dict) -> Column:
+            return _bound(own(left[0]), lambda found: bind(left[1:], having | {left[0]: found})) if left else tuples(having)
+
+        return _first(bind(wanted, {}), cap)
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-        def first(way: list[tuple[Step, ...]]) -> Column:
-            start = p.endpoints[0].test
-            if not way:
-                return F.flatten(F.transform(F.filter(self.positions(), lambda u: holds(start, self.at(u))), lambda u: steps(0, [], u, [u])))
-            own = F.filter(edges, lambda e: _labelled(way[0], e) & holds(start, self.at(_near(way[0], e))))
-            return F.flatten(F.transform(own, lambda e: steps(0, way[1:], _far(way[0], e), [_near(way[0], e)])))
 
-        return _first(F.array_sort(F.array_distinct(_concat([first(way) for way in ways[0]]))), cap)
+def _once(found: Column) -> Column:
+    """The distinct ones of a sorted array: array_distinct compares each struct with all others."""
+    return F.filter(found, lambda t, i: (i == 0) | ~t.eqNullSafe(F.get(found, i - 1)))
 
 
 def _first(found: Column, cap: int | None) -> Column:
