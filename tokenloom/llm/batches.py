@@ -5,22 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import SparkSession
-
-#: Rows and bytes of an Arrow batch that goes to a Python worker.
-ROWS, BYTES = 1000, 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a run of long texts can't fill a Python worker."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)):
-        try:
-            now = int(str(spark.conf.get(key)).rstrip("b"))
-        except Exception:  # the setting is unknown to this version, or has a unit
-            now = 0
-        if now <= 0 or now > most:
-            spark.conf.set(key, str(most))
 
+from ..functions.arrow import BYTES, ROWS, bounded_batches
 
 def groups(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about most bytes together, one text at least."""
@@ -40,3 +26,6 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]))
     np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
     return total[ends] - total[ends - lengths]
+
+
+__all__ = ["BYTES", "ROWS", "bounded_batches", "groups", "segment_sums"]
