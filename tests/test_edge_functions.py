@@ -48,3 +48,31 @@ def test_a_long_sentence_takes_time_in_proportion(spark):
 def test_a_document_is_read_once(spark):
     plan = queries()["src_flatten_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_values_without_a_backslash_are_read_as_those_with_one(spark):
+    values = ["", "a", "a|b", "|", "||", "a,b|c", "a\\|b|c", "\\", "a\\\\|b", "|a\\", "x|\\,y|", None, "[|]", "$1|^"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").coalesce(1)
+    def parts(v):
+        out, at = [""], 0
+        while at < len(v):
+            if v[at] == "\\" and at + 1 < len(v):
+                out[-1] += v[at : at + 2]
+                at += 2
+                continue
+            if v[at] == "|":
+                out.append("")
+            else:
+                out[-1] += v[at]
+            at += 1
+        return out
+
+    split = enc.split_escaped(F.col("v"), "|")
+    got = [r[0] for r in df.select(split).collect()]
+    assert got == [None if v is None else parts(v) for v in values]
+    plan = df.select(split)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(v" in plan  # the expression is left out where there is no backslash
+    words = ["a", "a|b", "\\", "x,\\|y", "", "é"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").coalesce(1)
+    want = ["".join("\\" + ch if ch in "\\|," else ch for ch in w) for w in words]
+    assert [tuple(r) for r in df.select(enc.escape(F.col("w")), enc.unescape(enc.escape(F.col("w")))).collect()] == list(zip(want, words, strict=True))

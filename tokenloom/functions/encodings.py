@@ -17,12 +17,14 @@ TOKEN_FIELDS = ("word", "lemma", "pos", "tag", "entity", "chunk", "norm", "raw")
 
 def escape(value: Column) -> Column:
     """A backslash before each backslash, pipe and comma."""
-    return F.regexp_replace(value, r"([\\|,])", r"\\$1")
+    for sign in ("\\", TOKEN_SEP, LABEL_SEP):
+        value = F.replace(value, F.lit(sign), F.lit("\\" + sign))
+    return value
 
 
 def unescape(value: Column) -> Column:
     """The inverse of escape; a lone backslash at the end goes."""
-    return F.regexp_replace(value, r"(?s)\\(.?)", "$1")
+    return F.when(F.contains(value, F.lit("\\")), F.regexp_replace(value, r"(?s)\\(.?)", "$1")).otherwise(value)
 
 
 def split_escaped(value: Column, separator: str) -> Column:
@@ -35,7 +37,8 @@ def split_escaped(value: Column, separator: str) -> Column:
     lone = F.length(F.regexp_extract(value, r"(\\*)\z", 1)) % 2 == 1  # a backslash at the end that escapes nothing: it goes back on the last part
     whole = F.when(lone, F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
     found = F.regexp_extract_all(F.concat(whole, F.lit(separator)), F.lit(rf"(?s)([^\\{sep}]*+(?:\\.[^\\{sep}]*+)*){sep}"), F.lit(1))
-    return F.when(lone, F.transform(found, lambda x, i: F.when(i == F.size(found) - 1, F.concat(x, F.lit("\\"))).otherwise(x))).otherwise(found)
+    read = F.when(lone, F.transform(found, lambda x, i: F.when(i == F.size(found) - 1, F.concat(x, F.lit("\\"))).otherwise(x))).otherwise(found)
+    return F.when(F.contains(value, F.lit("\\")), read).otherwise(F.split(value, f"[{separator}]", -1))  # most values have no backslash
 
 
 def encode_tokens(tokens: Column) -> Column:
